@@ -42,6 +42,11 @@ def invisible_ranges() -> tuple[tuple[int, int], ...]:
     points = {c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
     for a, b in _EXTRA_INVISIBLE:
         points.update(range(a, b + 1))
+    return ranges_of(points)
+
+
+def ranges_of(points) -> tuple[tuple[int, int], ...]:
+    """Code points as merged ranges: a class of a few ranges is matched much faster than one of many single characters."""
     out: list[list[int]] = []
     for c in sorted(points):
         if out and out[-1][1] == c - 1:
