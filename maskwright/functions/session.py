@@ -44,9 +44,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, unless they share the driver's file system."""
+    """Give the Python workers of this application the package, wherever they run."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     path = os.path.join(tempfile.mkdtemp(prefix="maskwright-"), "maskwright.zip")
