@@ -103,7 +103,8 @@ def by_start(spans: Column) -> Column:
 
 def entity_counts(spans: Column, types=ENTITY_TYPES) -> Column:
     """A map of type to number of spans, zeros included; meant for spans before fusion."""
-    return F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[F.size(F.filter(spans, lambda s, t=t: s["entity_type"] == t)) for t in types]))
+    count = lambda t: F.size(F.filter(spans, lambda s: s["entity_type"] == t))
+    return F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[count(t) for t in types]))
 
 
 __all__ = ["DETECTORS", "detect", "entity_counts", "has_id_context", "cm"]

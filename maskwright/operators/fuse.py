@@ -104,7 +104,7 @@ def decode_bio(tokens: Column, threshold: float = 0.5) -> Column:
     def step(acc: Column, t: Column) -> Column:
         label = F.when(t["score"] < threshold, "O").otherwise(t["label"])
         kind, etype = F.substring(label, 1, 1), F.substring(label, 3, 100)
-        last = F.element_at(acc["out"], -1)
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
         joins = (kind == "I") & acc["open"] & (last["entity_type"] == etype)
         one = lambda s, sc: F.struct(s.cast("int").alias("start"), t["end"].cast("int").alias("end"), etype.alias("entity_type"), F.lit("neural").alias("origin"), sc.cast("double").alias("score"), F.lit(False).alias("expanded"))
         grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(one(last["start"], F.least(last["score"], t["score"]))))
