@@ -410,15 +410,16 @@ def attack_matrix(spark, d):
 
 @query()
 def adaptive_attack(spark, d):
-    """Up to 8 queries per identifier by an attacker who stays within the folded families: the first that leaks, per type."""
-    cases = _attack_cases(spark, d).select("sentence_id", "text", F.explode("gold").alias("g")).withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    """Up to 8 queries per identifier by an attacker who stays within the folded families: the first that leaks, per type. Only
+    identifiers that are protected as they stand (query 0) are attacked."""
+    cases = _attack_cases(spark, d).select("sentence_id", "text", F.explode("gold").alias("g")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(8))))
     draw = attacks.drawing(23, F.col("sentence_id"), F.col("g.start"), F.col("q"))
     ident = F.substring(F.col("text"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    a = cases.withColumn("ident", ident).withColumn("new", attacks.adaptive_query(F.col("ident"), F.col("g.entity_type"), draw, "closed"))
+    a = cases.withColumn("ident", ident).withColumn("new", F.when(F.col("q") == 0, F.col("ident")).otherwise(attacks.adaptive_query(F.col("ident"), F.col("g.entity_type"), draw, "closed")))
     head, tail = F.substring(F.col("text"), F.lit(1), F.col("g.start")), F.substring(F.col("text"), F.col("g.end") + 1, F.length("text"))
-    a = cut(a.withColumn("context", F.concat(head, tail)).withColumn("attacked", F.concat(head, F.col("new"), tail)).where("new <> ident"))
+    a = cut(a.withColumn("context", F.concat(head, tail)).withColumn("attacked", F.concat(head, F.col("new"), tail)).where("q = 0 OR new <> ident"))
     r = cut(redact(a, "attacked")).withColumn("leaked", leaks.leaks(F.col("ident"), F.col("redacted"), F.col("context")))
-    per = r.groupBy("sentence_id", F.col("g.start").alias("start"), F.col("g.entity_type").alias("entity_type")).agg(F.min(F.when(F.col("leaked"), F.col("q"))).alias("first"))
+    per = r.groupBy("sentence_id", F.col("g.start").alias("start"), F.col("g.entity_type").alias("entity_type")).agg(F.min(F.when(F.col("leaked"), F.col("q"))).alias("first")).where("first IS NULL OR first > 0")
     s = F.sort_array(F.collect_list("first"))
     return per.groupBy("entity_type").agg(F.count("*").alias("identifiers"), F.count("first").alias("evaded"), F.when(F.count("first") > 0, F.get(s, F.floor(F.size(s) / 2).cast("int"))).alias("median_queries"))
 
