@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import charmap
 from maskwright.functions.session import table
-from maskwright.llm.common import LABELS, canonical_label
+from maskwright.llm.common import LABELS, canonical_label, squash
 
-#: The model is fitted on at most so many reviewed sentences, those with the smallest hash of their id.
-TRAIN_SENTENCES = 3000
+#: The model is fitted on at most so many reviewed sentences, and on so many that are labelled to hold nothing, those with the
+#: smallest hash of their id.
+TRAIN_SENTENCES = 4000
+TRAIN_NEGATIVES = 900
 ITERATIONS = 90
-WINDOW = 5
+WINDOW = 3
 #: Share of tokens whose own features are hidden in a training step, so that the words around them are learnt as well.
 DROPOUT = 0.25
 TAGS = ["O"] + [f"{b}-{x}" for x in LABELS for b in "BI"]
@@ -75,12 +77,14 @@ _LABEL = rf"[A-Za-z0-9](?:[A-Za-z0-9{Z}\-]*[A-Za-z0-9])?"
 _DOMAIN = rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z](?:{Z}*[A-Za-z])+(?![A-Za-z0-9])"
 # A bare word "at" is a sign only in capitals, or after a name with a digit or separator in it, and not before another sign.
 _BARE = rf"(?:{_LOCAL}{_S} AT {_S}|(?=[A-Za-z]*[0-9._+])(?:{_LOCAL}){_S} at {_S}){_DOMAIN}(?!{_AT}|[0-9_+]|\.\w| AT )"
+# Between digits of one number: nothing, a comma, or a separator with a bracket and another one after that.
+_NUM_SEP = rf"{Z}*(?:,|(?:[ .\-/:]{Z}*)?(?:[()]{Z}*(?:[ .\-]{Z}*)?)?)"
 _TOKEN = re.compile(
     rf"(?P<mail>{_LOCAL}{_AT}{_DOMAIN}|{_BARE})"
     rf"|(?P<iban>[A-Za-z]{Z}*[A-Za-z]{Z}*\d{Z}*\d(?:[ \-{Z}]*[A-Za-z](?:{Z}*[A-Za-z]){{3}})?(?:[ \-{Z}]*\d){{8,}}(?![A-Za-z]))"
-    rf"|(?P<num>(?:\({Z}*)?\+?{Z}*(?<![A-Za-z0-9_])\(?{Z}*\d(?:(?:{Z}|[ .\-/:)(,](?=[\d({Z}])|\) ?[.\-]?(?=\d)| ?\((?=\d))*\d)*)"
+    rf"|(?P<num>(?:\({Z}*)?\+?{Z}*(?<![A-Za-z0-9_])\(?{Z}*\d(?:{_NUM_SEP}\d)*)"
     rf"|(?P<initial>\b[A-Z]{Z}*\.(?= ?[A-Z]))"
-    rf"|(?P<word>{_L}(?:['’\-]{Z}*{_L})*)"
+    rf"|(?P<word>{_L}(?:{Z}*['’\-]{Z}*{_L})*)"
     rf"|(?P<mixed>[\w{Z}]*\w(?:[\-_][\w{Z}]*\w)*)"
     rf"|(?P<sign>[^\s{Z}])"
 )
@@ -379,13 +383,17 @@ def spans_of(text: str, toks: list[tuple[int, int, str]], tags: np.ndarray) -> l
     return out
 
 
-def training_rows(texts: DataFrame, gold: DataFrame, limit: int = TRAIN_SENTENCES) -> list:
-    """At most `limit` reviewed sentences with their spans, those with the smallest hash of the id."""
+def training_rows(items: DataFrame, gold: DataFrame, limit: int = TRAIN_SENTENCES, negatives: int = TRAIN_NEGATIVES) -> list:
+    """At most `limit` reviewed sentences with their spans, and at most `negatives` unreviewed ones whose type is NEGATIVE, those
+    with the smallest hash of the id. Both are bounded, whatever the size of the tables."""
     g = gold.select("sentence_id", "start", "end", canonical_label("label").alias("label")).dropna().where(F.col("label").isin(*LABELS)).distinct()
     ids = g.select("sentence_id").distinct().orderBy(F.xxhash64("sentence_id"), "sentence_id").limit(limit)
-    t = texts.select("sentence_id", "text").dropna().join(F.broadcast(ids), "sentence_id").groupBy("sentence_id").agg(F.min("text").alias("text"))
+    t = items.select("sentence_id", "text").dropna().join(F.broadcast(ids), "sentence_id").groupBy("sentence_id").agg(F.min("text").alias("text"))
     s = g.join(F.broadcast(ids), "sentence_id").groupBy("sentence_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "label"))).alias("spans"))
-    return t.join(s, "sentence_id").orderBy("sentence_id").collect()
+    none = items.where(squash("type") == "negative").select("sentence_id", "text").dropna().join(g.select("sentence_id"), "sentence_id", "left_anti")
+    none = none.groupBy("sentence_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("sentence_id"), "sentence_id").limit(negatives)
+    both = t.join(s, "sentence_id").unionByName(none, allowMissingColumns=True)
+    return both.select("sentence_id", "text", "spans").orderBy("sentence_id").collect()
 
 
 def fit(rows: list, iterations: int = ITERATIONS) -> Model:
@@ -393,7 +401,7 @@ def fit(rows: list, iterations: int = ITERATIONS) -> Model:
     for r in rows:
         toks = tokens(r["text"])
         seqs.append([k for _, _, k in toks])
-        tags.append(tag_sentence(toks, [(x[0], x[1], x[2]) for x in r["spans"]]))
+        tags.append(tag_sentence(toks, [(x[0], x[1], x[2]) for x in r["spans"] or []]))
     return train(seqs, tags, iterations)
 
 
