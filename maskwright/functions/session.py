@@ -40,6 +40,15 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores. For a scan ahead of work that costs far more than moving its rows: a
+    small file is one partition whatever its cost. A table of many files stays as it is."""
+    sc = df.sparkSession.sparkContext
+    if df.isStreaming or df.rdd.getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism)
+
+
 _SHIPPED: set[str] = set()
 
 

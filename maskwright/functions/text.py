@@ -1,8 +1,8 @@
 """Column builders for text: Unicode folding, finding matches with offsets, canonical forms.
 
 Everything is a native expression except NFKC, which Spark lacks. Its Arrow UDF gets
-null for ASCII text, on which it would change nothing, so plain rows cross to Python
-as nulls only.
+null for text of plain letters, on which it would change nothing, so such rows cross
+to Python as nulls only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from maskwright.functions import charmap as cm
 
-NON_ASCII = r"[^\x00-\x7F]"
+#: A character beyond plain Latin and Arabic letters and digits, or two Arabic marks together: without either, NFKC changes nothing.
+NEEDS_NFKC = r"[^\x00-\x7F\x{C0}-\x{FF}\x{60C}\x{61B}\x{61F}\x{621}-\x{652}\x{660}-\x{669}\x{6F0}-\x{6F9}]|[\x{64B}-\x{652}]{2}"
 #: White space as Python's str methods know it; Java's \s is ASCII only.
 SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Word boundaries in the ASCII sense, which Java's \b is not.
@@ -30,7 +31,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition; null stays null."""
-    return F.coalesce(_nfkc(F.when(c.rlike(NON_ASCII), c)), c)
+    return F.coalesce(_nfkc(F.when(c.rlike(NEEDS_NFKC), c)), c)
 
 
 def let(value: Column, body) -> Column:
@@ -76,7 +77,7 @@ def _fold_tokens(c: Column) -> Column:
 
 def fold_confusables(c: Column) -> Column:
     """Cyrillic and Greek look-alikes to Latin, in tokens that also hold an ASCII letter or digit."""
-    return F.when(c.rlike(f"[{cm.CONFUSABLE_FROM}]"), _fold_tokens(c)).otherwise(c)
+    return F.when(c.rlike(f"[{cm.java_class(cm.ranges_of(map(ord, cm.CONFUSABLE_FROM)))}]"), _fold_tokens(c)).otherwise(c)
 
 
 def changed_chars(before: Column, after: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import charmap as cm
 from maskwright.functions import text as tx
-from maskwright.functions.session import cut, table
+from maskwright.functions.session import cut, spread, table
 from maskwright.operators import annotate, attacks, audit, detect, fuse, leaks, score, stats, synth
 from maskwright.operators.normalize import any_adversarial_signal, normalize
 from maskwright.operators.redact import redact, run_systems
@@ -56,7 +56,7 @@ def _spans(df: DataFrame, key: str, spans) -> DataFrame:
 
 @query(_offsets_sql(_IP_RE2, "documents", "doc_id"))
 def ip_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(table(spark, d, "documents"), "doc_id", detect.ip_addresses(F.col("text")))
+    return _spans(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", detect.ip_addresses(F.col("text")))
 
 
 @query(_offsets_sql(_URL_RE2, "documents", "doc_id"))
@@ -66,13 +66,13 @@ def url_spans(spark, d):
 
 @query()
 def email_spans(spark, d):
-    return _spans(table(spark, d, "documents"), "doc_id", detect.emails(F.col("text")))
+    return _spans(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", detect.emails(F.col("text")))
 
 
 @query()
 def entity_counts_by_lang(spark, d):
     """Spans per language and type over normalised documents, zeros included, before fusion."""
-    n = normalize(table(spark, d, "documents"), report=None)
+    n = normalize(spread(table(spark, d, "documents").select("lang", "text")), report=None)
     c = n.select(F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang"), F.explode(detect.entity_counts(detect.detect(F.col("normalized")))).alias("entity_type", "n"))
     return c.groupBy("lang", "entity_type").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
 
@@ -94,12 +94,12 @@ def mask_ip(spark, d):
 
 @query()
 def redact_documents(spark, d):
-    return redact(table(spark, d, "documents")).select("doc_id", "redacted", F.size("spans").alias("n_spans"), any_adversarial_signal().alias("adversarial"))
+    return redact(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "redacted", F.size("spans").alias("n_spans"), any_adversarial_signal().alias("adversarial"))
 
 
 @query()
 def redact_messages(spark, d):
-    return redact(table(spark, d, "generated_record").select("record_id", "text").distinct()).select("record_id", "redacted", F.size("spans").alias("n_spans"))
+    return redact(spread(table(spark, d, "generated_record").select("record_id", "text")).distinct()).select("record_id", "redacted", F.size("spans").alias("n_spans"))
 
 
 # ---------------------------------------------------------------- detectors on built identifiers
@@ -191,7 +191,7 @@ def confusable_fold(spark, d):
 @query()
 def normalize_report(spark, d):
     """How many items each normalisation step touched."""
-    r = normalize(table(spark, d, "items")).where("report IS NOT NULL")
+    r = normalize(spread(table(spark, d, "items").select("text"))).where("report IS NOT NULL")
     steps = {"nfkc": F.col("report.nfkc_changed"), "bidi": F.col("report.bidi_controls_stripped") > 0, "invisible": F.col("report.invisible_stripped") > 0, "digits": F.col("report.digits_folded") > 0, "tatweel": F.col("report.tatweel_runs_capped") > 0, "confusables": F.col("report.confusables_folded") > 0, "any": any_adversarial_signal()}
     return r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step"), v.cast("long").alias("hit")) for k, v in steps.items()])).alias("x")).groupBy("x.step").agg(F.sum("x.hit").alias("items"))
 
@@ -312,7 +312,7 @@ def stratified_recall(spark, d):
 def _leak_cases(spark, d) -> DataFrame:
     k = F.col("c_custkey")
     ident = F.concat(F.lit("user"), F.lpad((k * 7919 % 1000003).cast("string"), 7, "0"), F.lit("@mail"), k.cast("string"), F.lit(".test"))
-    ids = table(spark, d, "customer").select("c_custkey", F.lit("EMAIL").alias("id_type"), ident.alias("identifier"))
+    ids = spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", F.lit("EMAIL").alias("id_type"), ident.alias("identifier"))
     return synth.scorer_cases(ids)
 
 
@@ -642,7 +642,7 @@ def generated_corpus(spark, d):
 @query()
 def flagged_contexts(spark, d):
     """What rules flag in documents, with the text around, by type."""
-    r = redact(table(spark, d, "documents"))
+    r = redact(spread(table(spark, d, "documents").select("doc_id", "text")))
     f = score.flagged_context(r, "doc_id", "normalized", "spans")
     return f.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"), F.min("context").alias("example"))
 

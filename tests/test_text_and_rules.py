@@ -112,7 +112,8 @@ def test_fusion_probes(spark):
 
 
 def test_decode_bio_and_contained(spark):
-    df = spark.sql("SELECT array(struct(0 AS start, 3 AS end, 'B-PERSON' AS label, 0.9D AS score), struct(4, 7, 'I-PERSON', 0.8D), struct(8, 9, 'O', 1.0D), struct(10, 12, 'I-PHONE', 0.9D), struct(13, 15, 'B-PHONE', 0.2D)) AS t")
+    toks = [(0, 3, "B-PERSON", 0.9), (4, 7, "I-PERSON", 0.8), (8, 9, "O", 1.0), (10, 12, "I-PHONE", 0.9), (13, 15, "B-PHONE", 0.2)]
+    df = spark.createDataFrame([(toks,)], "t array<struct<start:int,end:int,label:string,score:double>>")
     s = df.select(fuse.decode_bio(F.col("t")).alias("s")).first().s
     assert [(x.start, x.end, x.entity_type, x.score) for x in s] == [(0, 7, "PERSON", 0.8), (10, 12, "PHONE", 0.9)]
     df = spark.createDataFrame([([sp(0, 10, "A"), sp(2, 5, "B"), sp(10, 12, "C")],)], f"s {SPAN}")
