@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only where none is set (as in local tests) a temporary one is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="maskwright-")
         spark.sparkContext.setCheckpointDir(found)
@@ -41,10 +41,10 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores. For a scan ahead of work that costs far more than moving its rows: a
-    small file is one partition whatever its cost. A table of many files stays as it is."""
+    """df over as many partitions as there are cores, if its scan has few. For work that costs far more than moving its rows: a small
+    file is one row group, so one task reads all of it, however many splits it has. A table of many files stays as it is."""
     sc = df.sparkSession.sparkContext
-    if df.isStreaming or df.rdd.getNumPartitions() >= sc.defaultParallelism:
+    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * sc.defaultParallelism:
         return df
     return df.repartition(sc.defaultParallelism)
 
