@@ -562,8 +562,10 @@ def reidentification(spark, d):
     """Masked identifiers of dev and test records guessed from training records with the most similar surroundings."""
     r = table(spark, d, "generated_record").select("record_id", F.lower(F.trim("split")).alias("split"), "text", "entities").where("text IS NOT NULL AND size(entities) > 0").dropDuplicates(["record_id"])
     spans = F.transform("entities", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit("regex").alias("origin"), F.lit(1.0).alias("score"), F.lit(False).alias("expanded")))
-    rec = r.where("split = 'test' AND crc32(record_id) >= 0").select("record_id", F.col("text").alias("original"), spans.alias("spans")).withColumn("redacted", fuse.mask(F.col("original"), F.col("spans")))
-    back = r.where("split = 'dev'").select(F.crc32("record_id").alias("ord"), F.substring("text", 1, 90).alias("context"), F.substring(F.col("text"), F.col("entities")[0]["start"] + 1, F.col("entities")[0]["end"] - F.col("entities")[0]["start"]).alias("entity_value"))
+    rec = r.where("split IN ('dev', 'test')").select("record_id", F.col("text").alias("original"), spans.alias("spans")).withColumn("redacted", fuse.mask(F.col("original"), F.col("spans")))
+    each = r.where("split = 'train'").select("record_id", "text", F.posexplode("entities").alias("i", "e"))
+    lo, ord_ = F.greatest(F.lit(0), F.col("e.start") - 30), F.crc32("record_id") * 4096 + F.col("i")
+    back = each.select(ord_.alias("ord"), F.substring("text", lo + 1, F.col("e.end") + 30 - lo).alias("context"), F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("entity_value"))
     return stats.prir(rec, back)
 
 
