@@ -4,9 +4,8 @@ An exact set-similarity join between the evaluation splits and the training spli
 A record is reduced to letters and digits in loose form; its shingles are runs of
 five of these characters (the records are single messages, in which one changed
 word breaks five of some twenty word shingles - so characters, and a similarity of
-0.55 of them, stand for the small edits that the task allows; of a long record at
-most EDITS shingles may be lost, which is six changed characters or a dropped
-phrase). Shingles are ordered from rare to common; two records that share o of
+0.55 of them, stand for the small edits that the task allows, in records of any
+length). Shingles are ordered from rare to common; two records that share o of
 their shingles share SHARED of the first n - o + SHARED of each, so only these
 prefixes are joined, with length and position filters, and every candidate with that
 many matches is verified on its whole text.
@@ -36,8 +35,8 @@ from maskwright.llm.common import canonical_split
 
 SIZE = 5
 SIMILARITY = 0.55
-#: Shingles of the longer record that may be missing in the other.
-EDITS = 30
+#: Shingles that may be lost whatever the length: no bound, the similarity alone decides.
+EDITS = float("inf")
 #: Matches in the prefixes that make a candidate; the prefixes are longer by as many, less one.
 SHARED = 4
 BUCKETS = 1 << 18
@@ -102,9 +101,8 @@ def _bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h_a, h_b, similarity): pairs of a training (side 0) and an evaluation text (side 1) of equal identity, of at least this
-    similarity and with at most EDITS shingles of the larger missing in the smaller. texts: side, h, k, reduced, one row per
-    side and h. Texts equal to each other are among the pairs."""
+    """(h_a, h_b, similarity): pairs of a training (side 0) and an evaluation text (side 1) of equal identity and of at
+    least this similarity. texts: side, h, k, reduced, one row per side and h. Texts equal to each other are among the pairs."""
     common = texts.sparkSession.sparkContext.broadcast(_bucket_counts(texts))
 
     def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +112,7 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFra
             for side, h, k, t in zip(pdf["side"], pdf["h"], pdf["k"], pdf["reduced"]):
                 s = shingles(t)
                 s = s[np.lexsort((s, freq[(s % np.uint64(BUCKETS)).astype(np.int64)]))]
-                m = min(len(s), min(len(s) - int(np.ceil(similarity * len(s) - 1e-9)), EDITS) + SHARED)
+                m = min(len(s), len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + SHARED)
                 token = (s[:m].view(np.int64) * np.int64(31)) ^ np.int64(k)
                 for c, v in zip(cols, (token, np.full(m, side), np.full(m, h), np.full(m, len(s)), np.arange(m))):
                     c.append(v)
@@ -123,8 +121,7 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
     index = texts.mapInPandas(prefixes, "token long, side int, h long, size int, pos int")
     a, b = index.where("side = 0").alias("a"), index.where("side = 1").alias("b")
-    larger = F.greatest(F.col("a.size"), F.col("b.size"))
-    need = F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-9), larger - EDITS)
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
@@ -141,7 +138,7 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFra
         def one(p: str, q: str) -> float:
             s, u = shingles(p), shingles(q)
             n = len(np.intersect1d(s, u, assume_unique=True))
-            return n / (len(s) + len(u) - n) if max(len(s), len(u)) - n <= EDITS else 0.0
+            return n / (len(s) + len(u) - n)
 
         return pd.Series([1.0 if p == q else one(p, q) for p, q in zip(x, y)], dtype=float)
 
