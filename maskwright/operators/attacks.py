@@ -174,6 +174,31 @@ def context(text: Column, id_start: Column, draw: Draw, mode: str) -> Column:
     return let(at, lambda x: F.when(x.isNotNull(), new(x)).otherwise(text))
 
 
+def apply_context(text: Column, spans: Column, draw: Draw, mode: str) -> Column:
+    """As apply_to_spans, for context: the word before each NATIONAL_ID is altered, from the last identifier to the first, and the
+    gold spans move with the text. The identifiers stay; those of type NATIONAL_ID count as altered if the text was."""
+    gold_t = "array<struct<start:int,end:int,entity_type:string>>"
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type")))).cast(gold_t)
+
+    def step(acc: Column, k: Column) -> Column:
+        s = F.get(acc["gold"], k)
+
+        def put(v: Column) -> Column:
+            grown, at = F.length(v) - F.length(acc["text"]), s["start"]
+            # the first changed character: spans from there on move, the identifier is after it
+            same = F.length(acc["text"]) - 1
+            first = F.coalesce(F.get(F.filter(F.sequence(F.greatest(F.lit(0), at - lx.ID_BEFORE), F.greatest(F.lit(0), same)), lambda i: F.substring(v, i + 1, F.lit(1)) != F.substring(acc["text"], i + 1, F.lit(1))), 0), at)
+            move = lambda x: F.when(x > first, x + grown).otherwise(x).cast("int")
+            return F.struct(v.alias("text"), F.transform(acc["gold"], lambda g: F.struct(move(g["start"]).alias("start"), move(g["end"]).alias("end"), g["entity_type"].alias("entity_type"))).alias("gold"))
+
+        return F.when(s["entity_type"] == "NATIONAL_ID", let(context(acc["text"], s["start"], lambda name, *a: draw(name, k, *a), mode), put)).otherwise(acc)
+
+    start = F.struct(text.alias("text"), sorted_.alias("gold"))
+    order = F.when(F.size(sorted_) > 0, F.reverse(F.sequence(F.lit(0), F.size(sorted_) - 1))).otherwise(F.array().cast("array<int>"))
+    done = lambda acc: F.struct(acc["text"].alias("text"), F.transform(acc["gold"], lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["entity_type"].alias("entity_type"), ((g["entity_type"] == "NATIONAL_ID") & (acc["text"] != text)).alias("altered"))).alias("gold"))
+    return F.aggregate(order, start, step, done)
+
+
 def apply_to_spans(text: Column, spans: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
     """Rewrites each span's text with f(identifier, type, number of the span): a struct of the new text, the gold spans in its
     offsets, and whether each was altered. Spans must not overlap; they are taken by start."""
@@ -232,6 +257,12 @@ FIXED = (
 )
 
 
+def apply_fixed(text: Column, spans: Column, config: tuple, draw: Draw) -> Column:
+    """A fixed configuration on a text: what apply_to_spans gives."""
+    _, op, setting = config
+    return apply_context(text, spans, draw, setting) if op == "CTX" else apply_to_spans(text, spans, rewriting(config, draw))
+
+
 def rewriting(config: tuple, draw: Draw):
     """The rewriting function of a fixed configuration other than CTX."""
     _, op, setting = config

@@ -377,7 +377,7 @@ def _outcome(df: DataFrame, steps) -> DataFrame:
 
 @query()
 def attack_matrix(spark, d):
-    """Attack success of fixed configurations on reviewed sentences, with and without normalisation.
+    """Attack success of all fixed configurations on reviewed sentences, with and without normalisation.
 
     Identifiers that a system protects in the clean sentence count; an attack succeeds where a fragment can be read afterwards.
     """
@@ -386,10 +386,7 @@ def attack_matrix(spark, d):
     clean = cases.select(F.lit("clean").alias("config"), "sentence_id", F.col("text").alias("clean_text"), "text", "gold", F.transform("gold", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit(False).alias("altered"))).alias("new_gold"))
     rows = clean
     for cfg in attacks.FIXED:
-        if cfg[0] not in ("HGL 20%", "INV (dev chars)", "BIDI controls", "Fullwidth/math forms", "Arabic-Indic digits", "SEP (held-out separators)", "CONF (folded set)"):
-            continue
-        f = attacks.rewriting(cfg, draw)
-        a = cases.withColumn("a", attacks.apply_to_spans(F.col("text"), F.col("gold"), f))
+        a = cases.withColumn("a", attacks.apply_fixed(F.col("text"), F.col("gold"), cfg, draw))
         rows = rows.unionByName(a.select(F.lit(cfg[0]).alias("config"), "sentence_id", F.col("text").alias("clean_text"), F.col("a.text").alias("text"), "gold", F.col("a.gold").alias("new_gold")))
     rows = cut(rows)
     out = None

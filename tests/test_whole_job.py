@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from maskwright.llm import p2_overlap as p2
-from maskwright.operators import stats
+from maskwright.operators import attacks, stats
 from maskwright.plans import core
 
 
@@ -66,3 +66,22 @@ def test_p2_long_records_against_brute_force(spark):
                 want.add((a, b))
                 many += max(len(sets[a]), len(sets[b])) - o > 30
     assert got == want and many > 10
+
+
+def test_attack_matrix_runs_every_fixed_configuration(spark, tmp_path):
+    rows = [(f"s{i}", f"my national id 10{i}4567890 and mail user{i}@mail.test, iban SA0380000000608010167519", [(15, 26, "NATIONAL_ID"), (36, 51, "EMAIL")]) for i in range(2)]
+    spark.createDataFrame([r[:2] for r in rows], "sentence_id string, text string").write.parquet(f"{tmp_path}/items.parquet")
+    spark.createDataFrame([(k, a, b, t) for k, _, g in rows for a, b, t in g], "sentence_id string, start int, end int, label string").write.parquet(f"{tmp_path}/gold.parquet")
+    got = {(r.system, r.config): r for r in core.attack_matrix(spark, str(tmp_path)).collect()}
+    assert {c for _, c in got} == {c[0] for c in attacks.FIXED} and len(got) == 2 * len(attacks.FIXED)
+    assert all(got["full", c].n_altered == 2 for c in ("CTX zero-width", "CTX synonym"))
+
+
+def test_context_attack_moves_the_gold(spark):
+    t = "call 0501234567, national id 1234567890 or iqama 2234567890 then a@b.com"
+    spans = [(t.index(v), t.index(v) + len(v), k) for v, k in (("0501234567", "PHONE"), ("1234567890", "NATIONAL_ID"), ("2234567890", "NATIONAL_ID"), ("a@b.com", "EMAIL"))]
+    df = spark.createDataFrame([(t, spans)], "t string, s array<struct<start:int,end:int,entity_type:string>>")
+    for mode in ("zw", "tashkeel", "conf", "synonym"):
+        a = df.select(attacks.apply_context(F.col("t"), F.col("s"), attacks.drawing(3), mode).alias("a")).first().a
+        assert [a.text[g.start : g.end] for g in a.gold] == [t[x:y] for x, y, _ in spans], mode
+        assert [g.altered for g in a.gold] == [a.text != t and k == "NATIONAL_ID" for _, _, k in spans], mode
