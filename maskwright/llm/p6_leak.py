@@ -316,12 +316,10 @@ def leaks(docs: DataFrame, passages: DataFrame, *, key: str = "doc_id", text: st
                         if total >= SHARD_WORDS:
                             yield flush()
                             pieces, texts, number, raw = [], [], {}, {}
-                            same = {t: doc} if a + SHARD_WORDS < len(ws) else {}
-                            holders = {doc: holders[doc]} if same else {}
+                            same = {}  # a later copy of a text of which a piece is gone is searched afresh
+                            holders = {0: holders[doc]} if a + SHARD_WORDS < len(ws) else {}
+                            doc = 0  # the rest of a long text
                             total = 0
-                            if same:  # the rest of a long text keeps its number
-                                holders = {0: holders.pop(doc)}
-                                same[t] = doc = 0
             if pieces:
                 yield flush()
 
