@@ -405,20 +405,40 @@ def attack_matrix(spark, d):
     return t.withColumn("asr_alt", rate("n_leaked", "n_protected_alt")).withColumn("asr_all", rate("n_leaked", "n_protected_clean")).withColumn("lower", _r(lo)).withColumn("upper", _r(hi)).withColumn("upper_if_zero", F.when(F.col("n_leaked") == 0, _r(score.upper_if_zero(F.col("n_protected_alt")))))
 
 
+#: First and last query of each round: 50 in all.
+ADAPTIVE_ROUNDS = ((1, 3), (4, 12), (13, 50))
+
+
 @query()
 def adaptive_attack(spark, d):
-    """Up to 8 queries per identifier by an attacker who stays within the folded families: the first that leaks, per type. Only
-    identifiers that are protected as they stand (query 0) are attacked."""
-    cases = _attack_cases(spark, d).select("sentence_id", "text", F.explode("gold").alias("g")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    draw = attacks.drawing(23, F.col("sentence_id"), F.col("g.start"), F.col("q"))
+    """Up to 50 queries per identifier, by an attacker who uses any operator and inventory (open) and one who stays within the folded
+    families (closed): the first that leaks, per type. Only identifiers that are protected as they stand (query 0) are attacked.
+    Queries come in rounds; identifiers that have leaked take no part in the next."""
+    ids = _attack_cases(spark, d).select("sentence_id", "text", F.explode("gold").alias("g"))
     ident = F.substring(F.col("text"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    a = cases.withColumn("ident", ident).withColumn("new", F.when(F.col("q") == 0, F.col("ident")).otherwise(attacks.adaptive_query(F.col("ident"), F.col("g.entity_type"), draw, "closed")))
     head, tail = F.substring(F.col("text"), F.lit(1), F.col("g.start")), F.substring(F.col("text"), F.col("g.end") + 1, F.length("text"))
-    a = cut(a.withColumn("context", F.concat(head, tail)).withColumn("attacked", F.concat(head, F.col("new"), tail)).where("q = 0 OR new <> ident"))
-    r = cut(redact(a, "attacked")).withColumn("leaked", leaks.leaks(F.col("ident"), F.col("redacted"), F.col("context")))
-    per = r.groupBy("sentence_id", F.col("g.start").alias("start"), F.col("g.entity_type").alias("entity_type")).agg(F.min(F.when(F.col("leaked"), F.col("q"))).alias("first")).where("first IS NULL OR first > 0")
+    ids = cut(ids.select("sentence_id", "g", ident.alias("ident"), head.alias("head"), tail.alias("tail")))
+    key = ["mode", "sentence_id", "g"]
+
+    def leaked(a: DataFrame) -> DataFrame:
+        a = cut(a.withColumn("attacked", F.concat("head", "new", "tail")))
+        r = cut(redact(spread(a), "attacked"))
+        return r.where(leaks.leaks(F.col("ident"), F.col("redacted"), F.concat("head", "tail")))
+
+    bare = cut(leaked(ids.withColumn("new", F.col("ident"))).select("sentence_id", "g"))
+    left = ids.join(bare, ["sentence_id", "g"], "left_anti").withColumn("mode", F.explode(F.array(F.lit("open"), F.lit("closed"))))
+    left = every = cut(left)
+    draw = attacks.drawing(23, F.col("mode"), F.col("sentence_id"), F.col("g.start"), F.col("q"))
+    new = F.when(F.col("mode") == "open", attacks.adaptive_query(F.col("ident"), F.col("g.entity_type"), draw, "open")).otherwise(attacks.adaptive_query(F.col("ident"), F.col("g.entity_type"), draw, "closed"))
+    found = None
+    for lo, hi in ADAPTIVE_ROUNDS:
+        asked = left.withColumn("q", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("new", new).where("new <> ident")
+        hit = cut(leaked(asked).groupBy(*key).agg(F.min("q").alias("first")))
+        found = hit if found is None else found.unionByName(hit)
+        left = cut(left.join(hit, key, "left_anti"))
+    per = every.select(*key).join(found, key, "left").select("mode", F.col("g.entity_type").alias("entity_type"), "first")
     s = F.sort_array(F.collect_list("first"))
-    return per.groupBy("entity_type").agg(F.count("*").alias("identifiers"), F.count("first").alias("evaded"), F.when(F.count("first") > 0, F.get(s, F.floor(F.size(s) / 2).cast("int"))).alias("median_queries"))
+    return per.groupBy("mode", "entity_type").agg(F.count("*").alias("identifiers"), F.count("first").alias("evaded"), F.when(F.count("first") > 0, F.get(s, F.floor(F.size(s) / 2).cast("int"))).alias("median_queries"))
 
 
 @query(f"""SELECT sentence_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN i % 2 = 0 AND regexp_matches(text[i:i], '[\\x{{621}}-\\x{{64A}}]') THEN concat(text[i:i], '{cm.TATWEEL}') ELSE text[i:i] END), '') END AS attacked FROM items""")

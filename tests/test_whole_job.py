@@ -85,3 +85,13 @@ def test_context_attack_moves_the_gold(spark):
         a = df.select(attacks.apply_context(F.col("t"), F.col("s"), attacks.drawing(3), mode).alias("a")).first().a
         assert [a.text[g.start : g.end] for g in a.gold] == [t[x:y] for x, y, _ in spans], mode
         assert [g.altered for g in a.gold] == [a.text != t and k == "NATIONAL_ID" for _, _, k in spans], mode
+
+
+def test_adaptive_attack_has_fifty_queries_in_both_modes(spark, tmp_path):
+    assert core.ADAPTIVE_ROUNDS[-1][1] == 50 and [q for a, b in core.ADAPTIVE_ROUNDS for q in range(a, b + 1)] == list(range(1, 51))
+    rows = [(f"s{i}", f"mail user{i}@mail.test now", 5, 20, "EMAIL") for i in range(4)]
+    spark.createDataFrame([r[:2] for r in rows], "sentence_id string, text string").write.parquet(f"{tmp_path}/items.parquet")
+    spark.createDataFrame([(r[0], *r[2:]) for r in rows], "sentence_id string, start int, end int, label string").write.parquet(f"{tmp_path}/gold.parquet")
+    got = {r["mode"]: r for r in core.adaptive_attack(spark, str(tmp_path)).collect()}
+    assert set(got) == {"open", "closed"} and got["open"].identifiers == got["closed"].identifiers == 4
+    assert got["open"].evaded > got["closed"].evaded and 1 <= got["open"].median_queries <= 50
