@@ -95,3 +95,13 @@ def test_adaptive_attack_has_fifty_queries_in_both_modes(spark, tmp_path):
     got = {r["mode"]: r for r in core.adaptive_attack(spark, str(tmp_path)).collect()}
     assert set(got) == {"open", "closed"} and got["open"].identifiers == got["closed"].identifiers == 4
     assert got["open"].evaded > got["closed"].evaded and 1 <= got["open"].median_queries <= 50
+
+
+def test_bootstrap_clusters_are_whole_templates(spark, tmp_path):
+    start = "The same first words of every sentence go on "
+    texts = [(f"s{i}", f"{start}{'abcdefgh'[i % 8]} until {i % 3}{i} by Huda") for i in range(24)]  # eight templates
+    spans = [(k, t.index("Huda"), len(t), "PERSON", who) for i, (k, t) in enumerate(texts) for who in ("an07", "an21", "an33")]
+    spark.createDataFrame(texts, "sentence_id string, text string").write.parquet(f"{tmp_path}/sample_for_annotation.parquet")
+    spark.createDataFrame(spans, "sentence_id string, start int, end int, label string, annotator_id string").write.parquet(f"{tmp_path}/spans_b.parquet")
+    r = core.bootstrap_clusters(spark, str(tmp_path)).first()
+    assert (r.clusters, r.f1_x, r.x_lower, r.excludes_zero) == (8, 1.0, 1.0, False)
