@@ -5,16 +5,21 @@ A record is reduced to letters and digits in loose form; its shingles are runs o
 five of these characters (the records are single messages, in which one changed
 word breaks five of some twenty word shingles - so characters, and a similarity of
 0.55 of them, stand for the small edits that the task allows, in records of any
-length). Shingles are ordered from rare to common; two records that share o of
-their shingles share SHARED of the first n - o + SHARED of each, so only these
-prefixes are joined, with length and position filters, and every candidate with that
-many matches is verified on its whole text.
+length). Shingles are ordered from rare to common. Two records of n and m shingles
+that share o of them share SHARED of the first n - o + SHARED of the one and the
+first m - o + SHARED of the other. So the evaluation texts' prefixes are indexed and
+the training texts' prefixes probe them; a match counts only if it lies in the
+prefixes that the two lengths ask for and if what follows it can still suffice, and
+every candidate with that many matches is verified on its whole text.
 
 Both records must carry the same identifiers and reference numbers. That condition
 is part of the join key: a record's digits in order and its e-mail addresses,
 however they are written, are hashed into every shingle, so that messages from one
 template with different numbers never meet.
 
+Texts that are equal after reduction are one class, named by a 128-bit digest. Inside
+the join a class goes by a number that is unique in the run.
+
 The order needs corpus frequencies; these are counted in a fixed number of hashed
 buckets, which is all that is broadcast. Any fixed order keeps the filter exact.
 """
@@ -35,10 +40,9 @@ from maskwright.llm.common import canonical_split
 
 SIZE = 5
 SIMILARITY = 0.55
-#: Shingles that may be lost whatever the length: no bound, the similarity alone decides.
-EDITS = float("inf")
-#: Matches in the prefixes that make a candidate; the prefixes are longer by as many, less one.
-SHARED = 4
+#: Matches in the prefixes that make a candidate; the prefixes are longer by as many, less one. More of them cost a longer prefix
+#: and leave fewer candidates; the result is the same for any number.
+SHARED = 12
 BUCKETS = 1 << 18
 
 _DOT = r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\sdot\s)"
@@ -72,7 +76,7 @@ def shingles(reduced: str) -> np.ndarray:
 
 
 def _classes(records: DataFrame, key: str, text: str) -> DataFrame:
-    """(side, record, h, k, reduced): h names the reduced text with its identity, k the identity."""
+    """(side, record, c, k, identity, reduced): c names the reduced text with its identity, k the identity."""
     side = F.when(canonical_split("split") == "train", 0).when(canonical_split("split").isin("dev", "test"), 1)
     rows = records.select(F.col(key).alias("record"), side.alias("side"), F.col(text).alias("text")).dropna().distinct()
 
@@ -82,7 +86,8 @@ def _classes(records: DataFrame, key: str, text: str) -> DataFrame:
             yield pdf.assign(reduced=[b[0] for b in both], identity=[b[1] for b in both])
 
     reduced = rows.mapInPandas(reduce, "record string, side int, reduced string, identity string").where("reduced <> ''")
-    return reduced.select("side", "record", F.xxhash64("reduced", "identity").alias("h"), F.xxhash64("identity").alias("k"), "reduced")
+    name = F.unhex(F.md5(F.concat_ws("|", "identity", "reduced").cast("binary")))
+    return reduced.select("side", "record", name.alias("c"), F.xxhash64("identity").alias("k"), "identity", "reduced")
 
 
 def _bucket_counts(texts: DataFrame) -> np.ndarray:
@@ -100,9 +105,9 @@ def _bucket_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_classes(texts: DataFrame, similarity: float = SIMILARITY, shared: int = SHARED) -> DataFrame:
     """(h_a, h_b, similarity): pairs of a training (side 0) and an evaluation text (side 1) of equal identity and of at
-    least this similarity. texts: side, h, k, reduced, one row per side and h. Texts equal to each other are among the pairs."""
+    least this similarity. texts: side, h, k, identity, reduced, one row per h. Texts equal to each other are among the pairs."""
     common = texts.sparkSession.sparkContext.broadcast(_bucket_counts(texts))
 
     def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,26 +117,29 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFra
             for side, h, k, t in zip(pdf["side"], pdf["h"], pdf["k"], pdf["reduced"]):
                 s = shingles(t)
                 s = s[np.lexsort((s, freq[(s % np.uint64(BUCKETS)).astype(np.int64)]))]
-                m = min(len(s), len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + SHARED)
+                m = min(len(s), len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + shared)
                 token = (s[:m].view(np.int64) * np.int64(31)) ^ np.int64(k)
-                for c, v in zip(cols, (token, np.full(m, side), np.full(m, h), np.full(m, len(s)), np.arange(m))):
+                for c, v in zip(cols, (token, np.full(m, side, np.int32), np.full(m, h), np.full(m, len(s), np.int32), np.arange(m, dtype=np.int32))):
                     c.append(v)
             if cols[0]:
                 yield pd.DataFrame(dict(zip(("token", "side", "h", "size", "pos"), map(np.concatenate, cols))))
 
     index = texts.mapInPandas(prefixes, "token long, side int, h long, size int, pos int")
     a, b = index.where("side = 0").alias("a"), index.where("side = 1").alias("b")
-    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-9).cast("int")
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & (F.least(F.col("a.size"), F.col("b.size")) >= need)
-        # this match, SHARED - 1 before it at most unseen, and all that follow must suffice
+        # both in the prefix that this pair of lengths asks for
+        & (F.col("a.pos") < F.col("a.size") - need + shared)
+        & (F.col("b.pos") < F.col("b.size") - need + shared)
+        # what came before, at most, and all that follows must suffice
         & (F.least(F.col("a.pos"), F.col("b.pos")) + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= need),
     )
-    matches = met.groupBy(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.least("a.size", "b.size").alias("least")).agg(F.count("*").alias("n"))
-    candidates = matches.where(F.col("n") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("least") - 1e-9))).select("h_a", "h_b")
-    side = lambda n, s: texts.where(f"side = {s}").select(F.col("h").alias(f"h_{n}"), F.col("reduced").alias(f"t_{n}"))
+    matches = met.groupBy(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b")).agg(F.count("*").alias("n"), F.first(F.least(F.lit(shared), need)).alias("least"))
+    candidates = matches.where("n >= least").select("h_a", "h_b")
+    side = lambda n, s: texts.where(f"side = {s}").select(F.col("h").alias(f"h_{n}"), F.col("identity").alias(f"i_{n}"), F.col("reduced").alias(f"t_{n}"))
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -142,8 +150,22 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
         return pd.Series([1.0 if p == q else one(p, q) for p, q in zip(x, y)], dtype=float)
 
-    scored = candidates.join(side("a", 0), "h_a").join(side("b", 1), "h_b").select("h_a", "h_b", jaccard("t_a", "t_b").alias("similarity"))
-    return scored.where(F.col("similarity") >= similarity - 1e-9)
+    both = candidates.join(side("a", 0), "h_a").join(side("b", 1), "h_b").where("i_a = i_b")
+    return both.select("h_a", "h_b", jaccard("t_a", "t_b").alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
+
+
+def linked_classes(records: DataFrame, *, key: str = "record_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(members: side, record, c, one row per record and class; links: c_a, c_b, similarity, one row per pair of a training and an
+    evaluation class). A record sent twice with different texts is a member of two classes."""
+    rows = cut(_classes(records, key, text))
+    # Only texts whose identity occurs on both sides can pair: a necessary condition, checked before anything is shingled.
+    sides = rows.groupBy("k").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("k")
+    texts = rows.join(sides, "k", "left_semi").groupBy("side", "c").agg(F.first("k").alias("k"), F.first("identity").alias("identity"), F.first("reduced").alias("reduced"))
+    texts = cut(texts.withColumn("h", F.monotonically_increasing_id()))
+    pairs = cut(similar_classes(texts, similarity))
+    named = lambda n, s: texts.where(f"side = {s}").select(F.col("h").alias(f"h_{n}"), F.col("c").alias(f"c_{n}"))
+    links = pairs.join(named("a", 0), "h_a").join(named("b", 1), "h_b").select("c_a", "c_b", "similarity")
+    return rows.select("side", "record", "c").distinct(), links
 
 
 def overlaps(records: DataFrame, *, key: str = "record_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -153,14 +175,35 @@ def overlaps(records: DataFrame, *, key: str = "record_id", text: str = "text",
     have texts without letter or digit. Rows sent twice count once. Copies are joined as one text and expanded at the end.
     Empty tables give no pair. Extra columns are ignored.
     """
-    rows = cut(_classes(records, key, text))
-    # Only texts whose identity occurs on both sides can pair: a necessary condition, checked before anything is shingled.
-    sides = rows.groupBy("k").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("k")
-    texts = cut(rows.join(sides, "k", "left_semi").groupBy("side", "h").agg(F.first("k").alias("k"), F.first("reduced").alias("reduced")))
-    pairs = cut(similar_classes(texts, similarity))
-    train = rows.where("side = 0").select(F.col("h").alias("h_a"), F.col("record").alias("train"))
-    evaluation = rows.where("side = 1").select(F.col("h").alias("h_b"), F.col("record").alias("evaluation"))
-    return pairs.join(train, "h_a").join(evaluation, "h_b").groupBy("train", "evaluation").agg(F.max("similarity").alias("similarity")).where("train <> evaluation")
+    members, links = linked_classes(records, key=key, text=text, similarity=similarity)
+    train = members.where("side = 0").select(F.col("c").alias("c_a"), F.col("record").alias("train"))
+    evaluation = members.where("side = 1").select(F.col("c").alias("c_b"), F.col("record").alias("evaluation"))
+    return links.join(train, "c_a").join(evaluation, "c_b").groupBy("train", "evaluation").agg(F.max("similarity").alias("similarity")).where("train <> evaluation")
+
+
+def partners(records: DataFrame, **options) -> DataFrame:
+    """(evaluation, pairs): how many training records each evaluation record pairs with, as counting the rows of overlaps would
+    give it, but from the sizes of classes: only records of several classes (sent twice with different texts, or in both splits)
+    are looked at one by one, since they must not count twice or with themselves."""
+    members, links = linked_classes(records, **options)
+    members = cut(members)
+    plain = members.groupBy("record").agg(F.count("*").alias("n")).where("n = 1").select("record")
+    train, evaluation = members.where("side = 0"), members.where("side = 1")
+    size = train.join(plain, "record", "left_semi").groupBy(F.col("c").alias("c_a")).agg(F.count("*").alias("single"))
+    several = train.join(plain, "record", "left_anti").select(F.col("c").alias("c_a"), F.col("record").alias("train"))
+    links = cut(links.select("c_a", "c_b").distinct())
+    # evaluation records of one class: the class has the answer
+    per_class = links.join(size, "c_a").groupBy("c_b").agg(F.sum("single").alias("pairs"))
+    one = evaluation.join(plain, "record", "left_semi").select(F.col("record").alias("evaluation"), F.col("c").alias("c_b"))
+    easy = one.join(per_class, "c_b").select("evaluation", "pairs")
+    # records of several classes on the evaluation side: the distinct training classes they reach
+    many = evaluation.join(plain, "record", "left_anti").select(F.col("record").alias("evaluation"), F.col("c").alias("c_b"))
+    reach = many.join(links, "c_b").select("evaluation", "c_a").distinct()
+    hard = reach.join(size, "c_a").groupBy("evaluation").agg(F.sum("single").alias("pairs"))
+    # records of several classes on the training side, one by one
+    meets = evaluation.select(F.col("record").alias("evaluation"), F.col("c").alias("c_b")).join(links.join(several, "c_a"), "c_b")
+    rest = meets.select("evaluation", "train").distinct().where("train <> evaluation").groupBy("evaluation").agg(F.count("*").alias("pairs"))
+    return easy.unionByName(hard).unionByName(rest).groupBy("evaluation").agg(F.sum("pairs").alias("pairs"))
 
 
 def p2_found(spark, d):
@@ -172,8 +215,7 @@ def p2_report(spark, d):
     """Per evaluation split and source: records, records that recur in train, pairs."""
     records = table(spark, d, "generated_record")
     meta = records.select(F.col("record_id").alias("evaluation"), canonical_split("split").alias("split"), "source").where("split IN ('dev', 'test')").distinct()
-    per = overlaps(records).groupBy("evaluation").agg(F.count("*").alias("pairs"))
-    return meta.join(per, "evaluation", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("recurring"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    return meta.join(partners(records), "evaluation", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("recurring"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report}

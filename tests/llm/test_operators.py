@@ -80,11 +80,55 @@ def test_p2_against_brute_force(spark):
             if a[0] == "t" and b[0] == "e" and red[a][0] == red[b][0]:
                 x, y = red[a][1], red[b][1]
                 o = len(x & y)
-                if o / len(x | y) >= p2.SIMILARITY and max(len(x), len(y)) - o <= p2.EDITS:
+                if o / len(x | y) >= p2.SIMILARITY:
                     want.add((a, b))
     assert got == want and want
 
 
+def test_p2_long_texts_lose_nothing(spark):
+    """Records of 25, 60 and 200 words with 1 to 12 changed letters: all pairs of at least the similarity, whatever the length."""
+    rng = random.Random(9)
+    rows = []
+    for n in (25, 60, 200):
+        for edits in (1, 3, 5, 8, 12):
+            t = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(n))
+            u = list(t)
+            for i in rng.sample([i for i, c in enumerate(t) if c != " "], edits):
+                u[i] = rng.choice("abcdefghijklmnopqrstuvwxyz".replace(u[i], ""))
+            rows += [(f"t{n}.{edits}", "train", "s", t, 0), (f"e{n}.{edits}", "test", "s", "".join(u), 0)]
+    got = {(r.train, r.evaluation) for r in p2.overlaps(spark.createDataFrame(rows, RECORDS)).collect()}
+    sets = {r[0]: set(p2.shingles(p2.reduce_text(r[3])[0]).tolist()) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a[0] == "t" and b[0] == "e" and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= p2.SIMILARITY}
+    assert got == want and {("t200.8", "e200.8"), ("t200.12", "e200.12"), ("t60.5", "e60.5")} <= got
+
+
+def test_p2_any_number_of_matches_gives_the_same(spark):
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    rows = []
+    for i in range(80):
+        w = [rng.choice(words) for _ in range(rng.randint(1, 12))]
+        rows += [(0, len(rows), 1, "", "".join(w))]
+        w[rng.randrange(len(w))] = rng.choice(words)
+        rows += [(1, len(rows), 1, "", "".join(w))]
+    texts = spark.createDataFrame(rows, "side int, h long, k long, identity string, reduced string")
+    sets = [set(p2.shingles(r[4]).tolist()) for r in rows]
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == 0 and y[0] == 1 and len(sets[x[1]] & sets[y[1]]) / len(sets[x[1]] | sets[y[1]]) >= p2.SIMILARITY}
+    for shared in (1, 4, 12, 40):
+        assert {(r.h_a, r.h_b) for r in p2.similar_classes(texts, shared=shared).collect()} == want
+    assert len(want) > 40
+
+
+def test_p2_counts_by_class(spark):
+    """Counts from class sizes are those of the pairs, also with hot copies and records sent twice with different texts."""
+    a, b, c = (f"Please {w} the schedule at the second counter before the office closes today" for w in ("review", "reviewed", "send back"))
+    rows = [(f"t{i}", "train", "s", a, 0) for i in range(30)] + [("t0", "train", "s", b, 0), ("x", "train", "s", a, 0), ("x", "dev", "s", b, 0)]
+    rows += [(f"e{i}", "dev", "s", b if i % 2 else a, 0) for i in range(20)] + [("e0", "dev", "s", b, 0), ("e99", "test", "s", c, 0)]
+    df = spark.createDataFrame(rows, RECORDS)
+    want = {r.evaluation: r["count"] for r in p2.overlaps(df).groupBy("evaluation").count().collect()}
+    assert {r.evaluation: r.pairs for r in p2.partners(df).collect()} == want and len(want) >= 21
+
+
 def test_p3(spark):
     rows = [(f"s{i}", "E-mail" if i % 2 else "email ", "English", "western") for i in range(40)] + [("s1", "EMAIL", "english", "Western"), ("n", None, "English", "western"), (None, "email", "English", "western")] + [(f"p{i}", "PHONE", "Arabic", "western") for i in range(3)]
     items = spark.createDataFrame(rows, "sentence_id string, type string, language string, script string").withColumn("quota", F.lit(1))
