@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,27 +53,119 @@ _DOT_WORD = re.compile(r"[\[(]\s*dot\s*[\])]|\sdot\s")
 _ZEROS = re.compile(r"(?<![\d\-.])00(?=[\s.\-(]*(?:966|971|20|964|962|965|973))")
 
 
+#: What may stand for the sign in an address.
+_SIGN = re.compile(r"@|[\[(]\s*at\s*[\])]|\sat\s")
+
+
 def _letters(s: str) -> str:
     return "".join(ch for ch in s if ch.isalnum())
 
 
+def _identity(f: str, digits: str) -> str:
+    mails = ",".join(sorted(_letters(_DOT_WORD.sub("", a + b)) for a, b in _MAIL.findall(f))) if _SIGN.search(f) else ""
+    if "00" in digits:
+        digits = "".join(ch for ch in _ZEROS.sub("", f) if ch.isdigit())
+    return digits + "|" + mails
+
+
 def reduce_text(text: str) -> tuple[str, str]:
     """(letters and digits in loose form, identity: digits in order and e-mail addresses)."""
     f = loose(text)
-    mails = ",".join(sorted(_letters(_DOT_WORD.sub("", a + b)) for a, b in _MAIL.findall(f))) if "@" in f or "at" in f else ""
-    return _letters(f), "".join(ch for ch in _ZEROS.sub("", f) if ch.isdigit()) + "|" + mails
+    return _letters(f), _identity(f, "".join(ch for ch in f if ch.isdigit()))
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point of the first two planes: its loose form (LIMIT: deleted, LIMIT + 1: a text with it goes the slow way),
+    and whether a loose character is a letter or digit, and a digit."""
+    to, alnum, digit = np.zeros(LIMIT + 2, np.uint32), np.zeros(LIMIT + 2, bool), np.zeros(LIMIT + 2, bool)
+    to[LIMIT:] = LIMIT + 1
+    for c in range(LIMIT):
+        ch = chr(c)
+        f = loose(ch) if not 0xD800 <= c < 0xE000 and ch != "\u03a3" else "slow"  # the lower case of that sigma depends on its neighbours
+        to[c] = LIMIT if f == "" else LIMIT + 1 if len(f) > 1 or ord(f) >= LIMIT else ord(f)
+        alnum[c], digit[c] = ch.isalnum(), ch.isdigit()
+    return to, alnum, digit
+
+
+LIMIT = 0x20000
+
+
+#: Characters that are worked on at once: long texts go in small groups, so that memory stays bounded.
+AT_ONCE = 2_000_000
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in groups of about AT_ONCE characters."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        if n and n + len(t) > AT_ONCE:
+            yield texts[lo:i]
+            lo, n = i, 0
+        n += len(t)
+    if lo < len(texts):
+        yield texts[lo:]
+
+
+def reduce_texts(texts: list[str]) -> tuple[list[str], list[str]]:
+    """reduce_text of many texts, by table lookups over all their characters at once."""
+    reduced: list[str] = []
+    identities: list[str] = []
+    for group in _groups(texts):
+        a, b = _reduce_group(group)
+        reduced += a
+        identities += b
+    return reduced, identities
+
+
+def _reduce_group(texts: list[str]) -> tuple[list[str], list[str]]:
+    to, alnum, digit = _tables()
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    codes = to[np.minimum(codes, LIMIT)]
+    slow = set(row[codes == LIMIT + 1].tolist())
+    keep = codes < LIMIT
+    codes, row = codes[keep], row[keep]
+
+    def pieces(where: np.ndarray) -> list[str]:
+        own = codes[where]
+        ends = np.cumsum(np.bincount(row[where], minlength=len(texts))).tolist()
+        whole = own.astype("<u4").tobytes().decode("utf-32-le")
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+    full, reduced, digits = pieces(np.ones(len(codes), bool)), pieces(alnum[codes]), pieces(digit[codes])
+    identities = [_identity(f, d) for f, d in zip(full, digits)]
+    for i in slow:
+        reduced[i], identities[i] = reduce_text(texts[i])
+    return reduced, identities
 
 
 def shingles(reduced: str) -> np.ndarray:
     """Hashes of the distinct runs of SIZE characters; a shorter text is one run. Two runs may share a hash with odds of 2^-63."""
-    c = np.frombuffer(reduced.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    k = max(1, min(SIZE, len(c)))
-    h = np.full(len(c) - k + 1, np.uint64(k))
+    return shingle_sets([reduced])[0]
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """shingles of many texts: the runs of all of them are hashed at once."""
+    out = []
+    for group in _groups(texts):
+        c = np.frombuffer("".join(group).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        h, e = _hashed(c, SIZE), 0
+        for n in map(len, group):
+            e += n
+            out.append(np.unique(h[e - n : e - SIZE + 1] if n >= SIZE else _hashed(c[e - n : e], max(1, n))))
+    return out
+
+
+def _hashed(c: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k numbers."""
+    n = max(0, len(c) - k + 1)
+    h = np.full(n, np.uint64(k))
     with np.errstate(over="ignore"):
         for i in range(k):
-            h = (h ^ c[i : len(c) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ c[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return h
 
 
 def _classes(records: DataFrame, key: str, text: str) -> DataFrame:
@@ -82,8 +175,8 @@ def _classes(records: DataFrame, key: str, text: str) -> DataFrame:
 
     def reduce(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            both = [reduce_text(t) for t in pdf.pop("text")]
-            yield pdf.assign(reduced=[b[0] for b in both], identity=[b[1] for b in both])
+            reduced, identities = reduce_texts(pdf.pop("text").tolist())
+            yield pdf.assign(reduced=reduced, identity=identities)
 
     reduced = rows.mapInPandas(reduce, "record string, side int, reduced string, identity string").where("reduced <> ''")
     name = F.unhex(F.md5(F.concat_ws("|", "identity", "reduced").cast("binary")))
@@ -94,8 +187,8 @@ def _bucket_counts(texts: DataFrame) -> np.ndarray:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(BUCKETS, dtype=np.int64)
         for pdf in parts:
-            for t in pdf["reduced"]:
-                n[(shingles(t) % np.uint64(BUCKETS)).astype(np.int64)] += 1
+            for s in shingle_sets(pdf["reduced"].tolist()):
+                n[(s % np.uint64(BUCKETS)).astype(np.int64)] += 1
         at = np.flatnonzero(n)
         yield pd.DataFrame({"bucket": at, "n": n[at]})
 
@@ -114,8 +207,7 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY, shared: in
         freq = common.value
         for pdf in parts:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for side, h, k, t in zip(pdf["side"], pdf["h"], pdf["k"], pdf["reduced"]):
-                s = shingles(t)
+            for side, h, k, s in zip(pdf["side"], pdf["h"], pdf["k"], shingle_sets(pdf["reduced"].tolist())):
                 s = s[np.lexsort((s, freq[(s % np.uint64(BUCKETS)).astype(np.int64)]))]
                 m = min(len(s), len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + shared)
                 token = (s[:m].view(np.int64) * np.int64(31)) ^ np.int64(k)
@@ -143,12 +235,11 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY, shared: in
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p: str, q: str) -> float:
-            s, u = shingles(p), shingles(q)
+        def one(s: np.ndarray, u: np.ndarray) -> float:
             n = len(np.intersect1d(s, u, assume_unique=True))
             return n / (len(s) + len(u) - n)
 
-        return pd.Series([1.0 if p == q else one(p, q) for p, q in zip(x, y)], dtype=float)
+        return pd.Series([one(s, u) for s, u in zip(shingle_sets(x.tolist()), shingle_sets(y.tolist()))], dtype=float)
 
     both = candidates.join(side("a", 0), "h_a").join(side("b", 1), "h_b").where("i_a = i_b")
     return both.select("h_a", "h_b", jaccard("t_a", "t_b").alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)

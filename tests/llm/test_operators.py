@@ -119,6 +119,20 @@ def test_p2_any_number_of_matches_gives_the_same(spark):
     assert len(want) > 40
 
 
+def test_p2_many_texts_at_once(monkeypatch):
+    """Table lookups over a batch give what one text after the other gives, in groups of any size."""
+    rng = random.Random(5)
+    pool = "abcXYZ 01٣٤۵ ＡＢ é é Сер ﷺ ﻻ ​ ـ َ @.,()-+ ΟΔΟΣ İ ² 𝟛 \U0002F800"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["call 00966 50 1 or huda (at) mail dot test", "rami@mail.test at 00 97", "a" * 500, "", "abc"]
+    for limit in (1, 97, 10**6):
+        monkeypatch.setattr(p2, "AT_ONCE", limit)
+        a, b = p2.reduce_texts(texts)
+        assert list(zip(a, b)) == [p2.reduce_text(t) for t in texts]
+        assert [x.tolist() for x in p2.shingle_sets(a)] == [p2.shingles(x).tolist() for x in a]
+    assert p2.reduce_texts([]) == ([], [])
+
+
 def test_p2_counts_by_class(spark):
     """Counts from class sizes are those of the pairs, also with hot copies and records sent twice with different texts."""
     a, b, c = (f"Please {w} the schedule at the second counter before the office closes today" for w in ("review", "reviewed", "send back"))
