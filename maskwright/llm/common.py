@@ -28,3 +28,13 @@ def canonical_label(c: Column | str) -> Column:
 
 def canonical_split(c: Column | str) -> Column:
     return squash(c)
+
+
+def draw_key(c: Column | str, seed: int) -> Column:
+    """A repeatable random number below 2^60 for a key: the leading digits of a digest, which SQL engines share."""
+    text = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), text).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def draw_key_sql(c: str, seed: int) -> str:
+    return f"CAST(concat('0x', substr(md5(concat('{seed}|', {c})), 1, 15)) AS BIGINT)"

@@ -149,12 +149,27 @@ def test_p3(spark):
     targets = spark.createDataFrame([(1, "EMAIL", "English", "western", 0.75, 1, 20), (2, "PHONE", "Arabic", "western", 0.25, 4, 20)], "target_id long, type string, language string, script string, target_share double, min_rows int, sample_size long")
     sample, report = p3.proportional_sample(items, targets)
     r = {x.target_id: x for x in report.collect()}
-    assert (r[1].available, r[1].wanted, r[1].shortfall) == (40, 15, 0) and (r[2].available, r[2].wanted, r[2].shortfall) == (3, 5, 2)
+    assert (r[1].available, r[1].wanted) == (40, 15) and (r[2].available, r[2].wanted) == (3, 5)
+    short = {x.target_id: (x.filled, x.shortfall) for x in p3.shortfalls(items, targets).collect()}
+    assert short == {1: (15, 0), 2: (3, 2)}
     n = {x.target_id: x["count"] for x in sample.groupBy("target_id").count().collect()}
     assert n == {1: 17, 2: 3} and sample.select("sentence_id").distinct().count() == 20
     assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, p3.proportional_sample(items.repartition(7), targets)[0].collect()))
     e, rep = p3.proportional_sample(items.where("false"), targets)
-    assert e.count() == 0 and all(x.shortfall == x.wanted for x in rep.collect())
+    assert e.count() == 0 and all(x.shortfall == x.wanted for x in p3.shortfalls(items.where("false"), targets).collect())
+
+
+def test_p3_draws_the_smallest_keys(spark, monkeypatch):
+    """Buckets of keys give the same draw as sorting the whole category, with many rows a bucket and with few."""
+    rows = spark.createDataFrame([(f"k{i}", "a" if i % 3 else "b") for i in range(900)], "key string, c_type string")
+    keyed = [(r.key, r.c_type, r.r) for r in rows.withColumn("r", p3.draw_key("key", 5)).collect()]
+    for bucket in (1 << 58, 1 << 52, 1 << 44):
+        monkeypatch.setattr(p3, "BUCKET", bucket)
+        for n in (0, 1, 37, 299, 300, 600, 5000):
+            report = spark.createDataFrame([(1, n, "a"), (2, n, "b"), (3, n, "none")], "target_id long, quota long, c_type string")
+            got = {(r.target_id, r.key) for r in p3.draw(rows, report, "quota", ["type"], 5).collect()}
+            want = {(i, k) for i, c in ((1, "a"), (2, "b")) for k, _, _ in sorted((x for x in keyed if x[1] == c), key=lambda x: (x[2], x[0]))[:n]}
+            assert got == want
 
 
 def test_p3_allocation():
@@ -251,12 +266,26 @@ def test_p7(spark):
     drawn, report = p7.mix(d, t)
     r = {x.source: x for x in report.collect()}
     assert r["none"].shortfall > 0 and r["small"].shortfall > 0 and r["big"].shortfall == 0
-    assert r["small"].drawn == r["small"].possible and r["small"].most_copies == 3 and r["big"].most_copies == 1
+    assert r["small"].drawn == 3 * r["small"].available and r["small"].most_copies == 3 and r["big"].most_copies == 1
     assert abs(r["big"].drawn - r["big"].wanted) / r["big"].wanted < 0.03
     assert drawn.where("doc_id >= 2000").count() == 0
     assert p7.mix(d.where("false"), t)[0].count() == 0
 
 
+def test_p7_blocks_and_large_sums(spark, monkeypatch):
+    """Any division into blocks emits a document once per integer crossed; sums far beyond 64 bits of units do not overflow."""
+    d = spark.createDataFrame([(i, "a", "x" * (1 + i % 7)) for i in range(500)], "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.9, 5)], "source string, target_weight double, max_repeat int")
+    for n in (1, 7, 60, 1000):
+        drawn, report = p7.mix(d, t, fraction=2.0, size="length(text)", block_docs=n)
+        r, copies = report.first(), [x.copies for x in drawn.collect()]
+        assert set(copies) == {1, 2} and abs(sum(copies) - 500 * r.rate) <= 1
+    monkeypatch.setattr(p7, "UNIT", 10**15)  # 500 documents at 1.8 copies are 9 x 10^17 units, those of 5 copies 2.5 x 10^18; ten times as many pass 2^63
+    many = spark.range(20000).selectExpr("id AS doc_id", "'a' AS source", "'xx' AS text")
+    drawn, report = p7.mix(many, t, fraction=4.0, size="length(text)", block_docs=100)
+    r = report.first()
+    assert abs(drawn.agg(F.sum("copies")).first()[0] - 20000 * r.rate) <= 1 and r.shortfall == 0 and 20000 * r.rate * 10**15 > 2**63
+
 def test_p8_ranks_and_ways_agree(spark):
     rng = random.Random(6)
     easy, hard = [f"ab{chr(97 + i)}" for i in range(12)], [f"compli{chr(97 + i)}cation" for i in range(12)]
