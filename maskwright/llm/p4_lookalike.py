@@ -104,15 +104,16 @@ def _rows(spark, d) -> DataFrame:
 def pairs(rows: DataFrame) -> DataFrame:
     """(src, key_a, key_b): keys of one table whose texts differ but are of one class, key_a < key_b.
 
-    Rows with a null key or text are in no pair. Only texts of classes with several members meet their keys; the result
-    itself is pairs, as its users ask for them.
+    Rows with a null key or text are in no pair. Distinct texts of a class are paired first and then meet their keys, so copies
+    of one text never meet each other; what remains is the result, which is pairs, as its users ask for them.
     """
-    several = cut(equivalence_classes(rows).where("n_texts > 1").select("src", "text", F.xxhash64("canonical").alias("h"), "canonical"))
-    keyed = rows.where("key IS NOT NULL").join(several, ["src", "text"]).select("src", "canonical", F.xxhash64("text", F.lit(1)).alias("t"), "key").distinct()
-    keyed = cut(keyed)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.src") == F.col("b.src")) & (F.col("a.canonical") == F.col("b.canonical")) & (F.col("a.t") != F.col("b.t")) & (F.col("a.key") < F.col("b.key")))
-    return met.select("a.src", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+    several = equivalence_classes(rows).where("n_texts > 1").select("src", "text", F.unhex(F.md5(F.col("canonical").cast("binary"))).alias("class"))
+    several = cut(several.withColumn("t", F.monotonically_increasing_id()))
+    keyed = cut(rows.where("key IS NOT NULL").join(several.select("src", "text", "t"), ["src", "text"]).select("t", "key").distinct())
+    a, b = several.alias("a"), several.alias("b")
+    unlike = a.join(b, (F.col("a.src") == F.col("b.src")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.t") < F.col("b.t"))).select("a.src", F.col("a.t").alias("t"), F.col("b.t").alias("u"))
+    met = unlike.join(keyed.withColumnRenamed("key", "x"), "t").join(keyed.select(F.col("t").alias("u"), F.col("key").alias("y")), "u").where("x <> y")
+    return met.select("src", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def p4_found(spark, d):
@@ -132,4 +133,25 @@ def p4_class_sizes(spark, d):
 
 
 QUERIES = {"p4_found": p4_found, "p4_consistent": p4_consistent, "p4_class_sizes": p4_class_sizes}
-ORACLE: dict[str, str] = {}
+
+
+def _shown_sql() -> str:
+    """The same forms by tables and composition, where an engine lacks this collation: a text without what draws nothing, composed."""
+    src, dst = charmap.lookalike_pairs()
+    kin = str.maketrans(charmap.ARABIC_KIN_FROM, charmap.ARABIC_KIN_TO)
+    spelled = ", ".join(f"'{k}': '{v.translate(kin)}'" for k, v in charmap.presentation_pairs()[2].items())
+    quoted = lambda x: x.replace("'", "''")
+    one = f"array_to_string(list_transform(string_split(text, ''), lambda c: coalesce(MAP {{{spelled}}}[c], c)), '')"
+    invisible = charmap.java_class(charmap.invisible_ranges())
+    return f"nfc_normalize(regexp_replace(translate({one}, '{quoted(src)}', '{quoted(dst)}'), '[{invisible}]', '', 'g'))"
+
+
+_ROWS = f"""
+WITH r AS (SELECT 'items' AS src, sentence_id AS key, text FROM items UNION ALL SELECT 'generated_record', record_id, text FROM generated_record),
+c AS (SELECT src, text, {_shown_sql()} AS seen FROM (SELECT DISTINCT src, text FROM r WHERE text IS NOT NULL))"""
+ORACLE = {
+    "p4_found": f"""{_ROWS}, k AS (SELECT DISTINCT src, key, text, seen FROM r JOIN c USING (src, text) WHERE key IS NOT NULL)
+SELECT DISTINCT a.src, a.key AS key_a, b.key AS key_b FROM k a JOIN k b ON a.src = b.src AND a.seen = b.seen AND a.text <> b.text AND a.key < b.key""",
+    "p4_class_sizes": f"""{_ROWS}, n AS (SELECT src, seen, count(*) AS n_texts FROM c GROUP BY 1, 2)
+SELECT src, n_texts, CAST(sum(n_texts) AS BIGINT) AS texts FROM n GROUP BY 1, 2""",
+}

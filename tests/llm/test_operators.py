@@ -191,6 +191,15 @@ def test_p4(spark):
     assert p4.pairs(df.where("false")).count() == 0
 
 
+def test_p4_copies_of_one_text(spark):
+    """One text sent 100,000 times and two spellings of it: copies do not meet, so the work is that of the result."""
+    df = spark.range(100_000).selectExpr("'items' AS src", "concat('k', id) AS key", "'Caf\u00e9 A 1' AS text")
+    df = df.unionByName(spark.createDataFrame([("items", "x", "Cafe\u0301 A 1"), ("items", "y", "Café Ａ 1"), ("items", "k7", "Café Ａ 1")], "src string, key string, text string"))
+    got = p4.pairs(df)
+    # copies with x, copies with y and k7 (but k7 with itself), x with y; x with k7 is there already
+    assert got.count() == 100_000 + 199_999 + 1 and got.where("key_a >= key_b").count() == 0
+
+
 def test_p5_tokens_and_model(spark):
     t = "اتصل على +966 (50) 123-4567, mail huda.k [at] mail dot test or SA79 1234 5678 9012 3456 7890 ok."
     toks = [t[a:b] for a, b, _ in p5.tokens(t)]
