@@ -7,7 +7,8 @@ All runs of PHRASE words of all passages are searched backwards at once, through
 ranks in the matrix; their occurrences are located by walking to a sampled position.
 Occurrences of one passage in one document that lie near a diagonal make a
 candidate, which is aligned word by word; spans of the same document are merged for
-removal. The passages are a table of fixed size and are broadcast after a check.
+removal. The passages are the stated query set: they are broadcast in blocks of
+bounded size, and every shard is searched for all blocks while its index is there.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from maskwright.functions.session import table
 PHRASE = 4
 SAMPLE = 4
 SHARD_WORDS = 400_000
-#: Largest evaluation set that is broadcast, in words; a larger one is searched in parts, each a pass over the corpus.
+#: Words of a block of passages.
 PART_WORDS = 2_000_000
+#: Occurrences of phrases in passages that are looked at together.
+AT_ONCE = 4_000_000
 #: Share of a passage's words under intact phrases near one diagonal, from which a candidate is aligned.
 CANDIDATE = 0.22
-#: Share of a passage in one stretch from which a document leaks it: between the quarter that is a quotation and the half that is a leak.
-STRETCH = 0.47
 BAND = 12
 #: What a changed word costs in matching words.
 COST = 2.5
@@ -147,27 +148,45 @@ class FMIndex:
         return at
 
 
+def needed(size: np.ndarray | int) -> np.ndarray | int:
+    """How many words of a passage a stretch must span: half of them."""
+    return (size + 1) // 2
+
+
 class _Passages:
-    """The passages and their distinct phrases."""
+    """A block of passages and the distinct phrases in them: runs of `phrase` words, and shorter passages whole."""
 
     def __init__(self, ids: list[int], texts: list[str], phrase: int):
-        self.ids, self.words, self.phrase = ids, [words_of(t or "") for t in texts], phrase
-        where: dict[tuple, list[tuple[int, int]]] = {}
-        for p, ws in enumerate(self.words):
-            for o in range(len(ws) - phrase + 1):
-                where.setdefault(tuple(ws[o : o + phrase]), []).append((p, o))
-        self.phrases = list(where)
-        self.counts = np.array([len(v) for v in where.values()], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)[:-1]]) if where else np.zeros(0, np.int64)
-        flat = np.array([x for v in where.values() for x in v], dtype=np.int64).reshape(-1, 2)
-        self.passage, self.offset = flat[:, 0], flat[:, 1]
+        self.ids, self.phrase = ids, phrase
+        own: dict[str, str] = {}
+        self.words = [[own.setdefault(w, w) for w in words_of(t or "")] for t in texts]
+        number = {w: i for i, w in enumerate(own)}
+        self.vocabulary = list(own)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.longest = int(self.size.max()) if len(self.size) else 0
+        seq = np.fromiter((number[w] for ws in self.words for w in ws), np.int64, int(self.size.sum()))
+        starts = np.concatenate([[0], np.cumsum(self.size)[:-1]]) if len(self.size) else np.zeros(0, np.int64)
+        #: For each phrase length: (distinct phrases, first and number of their places, passage and offset of each place).
+        self.groups: list[tuple[np.ndarray, ...]] = []
+        for length in range(1, phrase + 1):
+            its = np.flatnonzero(self.size == length) if length < phrase else np.flatnonzero(self.size >= phrase)
+            runs = self.size[its] - length + 1
+            if not runs.sum():
+                continue
+            passage, offset = np.repeat(its, runs), _ranges(np.zeros(len(its), np.int64), runs)
+            at = starts[passage] + offset
+            table = np.stack([seq[at + j] for j in range(length)], axis=1)
+            by = np.lexsort(table.T[::-1])
+            table, passage, offset = table[by], passage[by], offset[by]
+            first = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]).any(1)]))
+            self.groups.append((table[first], first, np.diff(np.append(first, len(table))), passage, offset))
         self._matchers: dict[int, SequenceMatcher] = {}
 
     def matcher(self, p: int) -> SequenceMatcher:
         """Of a passage, with what it prepares of it."""
         if p not in self._matchers:
+            if len(self._matchers) > 2000:
+                self._matchers.clear()
             self._matchers[p] = SequenceMatcher(None, [], self.words[p], autojunk=False)
         return self._matchers[p]
 
@@ -197,45 +216,74 @@ def _stretch(matcher: SequenceMatcher, d: list[str]) -> tuple[float, int, int]:
     return best[1:]
 
 
-def _search_shard(pieces: list[tuple[int, int, np.ndarray]], texts: list[list[str]], number: dict[str, int], ps: _Passages) -> list[tuple[int, int, float, int, int]]:
-    """Leaks in a shard: (document, passage, share, first word, end word). pieces: (document, first word, numbers of its words);
-    texts: the words of each piece."""
-    ids = np.array([[number.get(w, -1) for w in f] for f in ps.phrases], dtype=np.int64).reshape(-1, ps.phrase)
-    known = np.flatnonzero((ids >= 0).all(1))
-    if not len(known) or not pieces:
+class _Shard:
+    """Texts of some documents with their index. pieces: (document, first word, numbers of its words); texts: the words of each."""
+
+    def __init__(self, pieces: list[tuple[int, int, np.ndarray]], texts: list[list[str]], number: dict[str, int]):
+        self.pieces, self.texts, self.number = pieces, texts, number
+        self.starts = np.cumsum([0] + [len(x) + 1 for _, _, x in pieces[:-1]])
+        seq = np.zeros(sum(len(x) + 1 for _, _, x in pieces), np.int64)
+        for s, (_, _, x) in zip(self.starts, pieces):
+            seq[s : s + len(x)] = x
+        self.index = FMIndex(seq)
+
+    def places(self, ps: _Passages) -> Iterator[tuple[np.ndarray, ...]]:
+        """(piece, passage, offset in the passage, position in the shard) of phrases of passages, about AT_ONCE at a time."""
+        get = self.number.get
+        to = np.fromiter((get(w, -1) for w in ps.vocabulary), np.int64, len(ps.vocabulary))
+        for phrases, first, count, passages, offsets in ps.groups:
+            ids = to[phrases]
+            known = np.flatnonzero((ids >= 0).all(1))
+            lo, hi = self.index.search(ids[known])
+            hit = hi > lo
+            known, lo, n = known[hit], lo[hit], (hi - lo)[hit]
+            load = np.cumsum(n * count[known])
+            for part in np.split(np.arange(len(known)), np.searchsorted(load, np.arange(AT_ONCE, load[-1], AT_ONCE))) if len(known) else ():
+                if not len(part):
+                    continue
+                at = self.index.locate(_ranges(lo[part], n[part]))
+                ph = np.repeat(known[part], n[part])
+                ref, at = _ranges(first[ph], count[ph]), np.repeat(at, count[ph])
+                yield np.searchsorted(self.starts, at, side="right") - 1, passages[ref], offsets[ref], at
+
+
+def _search_shard(shard: _Shard, ps: _Passages) -> list[tuple[int, int, float, int, int]]:
+    """Leaks in a shard: (document, passage, share, first word, end word)."""
+    length = np.minimum(ps.phrase, ps.size)
+    least = np.maximum(length, CANDIDATE * ps.size)  # words to be covered
+    pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    only = None  # the places, if they are one portion; else they are looked up again
+    for n, place in enumerate(shard.places(ps)):
+        only = None if n else place
+        u, k = np.unique(place[0] * len(ps.ids) + place[1], return_counts=True)
+        pairs, back = np.unique(np.concatenate([pairs, u]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, k])).astype(np.int64)
+    if not len(pairs):
         return []
-    starts = np.cumsum([0] + [len(x) + 1 for _, _, x in pieces[:-1]])
-    seq = np.zeros(sum(len(x) + 1 for _, _, x in pieces), np.int64)
-    for s, (_, _, x) in zip(starts, pieces):
-        seq[s : s + len(x)] = x
-    index = FMIndex(seq)
-    lo, hi = index.search(ids[known])
-    n = hi - lo
-    at = index.locate(_ranges(lo, n))
-    ph = np.repeat(known, n)
-    k = ps.counts[ph]
-    ref = _ranges(ps.first[ph], k)
-    at = np.repeat(at, k)
-    piece = np.searchsorted(starts, at, side="right") - 1
-    passage, offset = ps.passage[ref], ps.offset[ref]
-    least = np.maximum(ps.phrase + 1, CANDIDATE * ps.size)  # words to be covered
-    pair = piece * len(ps.ids) + passage
-    enough = np.bincount(pair, minlength=len(pieces) * len(ps.ids)) * ps.phrase >= np.tile(least, len(pieces))
-    keep = enough[pair]  # too few phrases for any band
-    piece, passage, offset, at = piece[keep], passage[keep], offset[keep], at[keep]
+    of = pairs % len(ps.ids)
+    enough = pairs[counts * length[of] >= least[of]]  # too few phrases for any band otherwise
+    kept: list[list[np.ndarray]] = [[], [], [], []]
+    for piece, passage, offset, at in shard.places(ps) if only is None else (only,):
+        pair = piece * len(ps.ids) + passage
+        i = np.minimum(np.searchsorted(enough, pair), max(0, len(enough) - 1))
+        keep = enough[i] == pair if len(enough) else np.zeros(len(pair), bool)
+        for c, v in zip(kept, (piece, passage, offset, at)):
+            c.append(v[keep])
+    piece, passage, offset, at = map(np.concatenate, kept)
     if not len(at):
         return []
-    diagonal = at - starts[piece] - offset + ps.longest  # never negative
+    diagonal = at - shard.starts[piece] - offset + ps.longest  # never negative
+    pair = piece * len(ps.ids) + passage
+    enough_words = needed(ps.size)
     out = []
     seen: set[tuple[int, int, int]] = set()
     for shift in (0, BAND // 2):  # two overlapping divisions into bands: a run of changes that shifts it stays in one of them
         band = (diagonal + shift) // BAND
-        pair = (piece * len(ps.ids) + passage) * np.int64(1 << 34) + band
-        by = np.lexsort((offset, pair))
-        pr, off = pair[by], offset[by]
-        new = np.concatenate([[True], pr[1:] != pr[:-1]])
+        by = np.lexsort((offset, band, pair))
+        pr, bd, off, size = pair[by], band[by], offset[by], length[passage[by]]
+        new = np.concatenate([[True], (pr[1:] != pr[:-1]) | (bd[1:] != bd[:-1])])
         # words newly covered by each phrase after the one before it in the same band
-        gain = np.where(new, ps.phrase, np.minimum(ps.phrase, off - np.concatenate([[0], off[:-1]])))
+        gain = np.where(new, size, np.minimum(size, off - np.concatenate([[0], off[:-1]])))
         first = np.flatnonzero(new)
         covered = np.add.reduceat(gain, first)
         q = passage[by][first]
@@ -249,9 +297,9 @@ def _search_shard(pieces: list[tuple[int, int, np.ndarray]], texts: list[list[st
             seen.add(key)
             a = max(0, mid - BAND)
             b = mid + int(ps.size[pa]) + 2 * BAND
-            share, x, y = _stretch(ps.matcher(pa), texts[pc][a:b])
-            if share >= STRETCH:
-                doc, base, _ = pieces[pc]
+            share, x, y = _stretch(ps.matcher(pa), shard.texts[pc][a:b])
+            if share * ps.size[pa] >= enough_words[pa] - 1e-9:
+                doc, base, _ = shard.pieces[pc]
                 out.append((doc, pa, share, base + a + x, base + a + y))
     return out
 
@@ -259,72 +307,67 @@ def _search_shard(pieces: list[tuple[int, int, np.ndarray]], texts: list[list[st
 def leaks(docs: DataFrame, passages: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, passage_id, share, start, end): where documents hold a passage; start and end are word numbers.
 
-    share is the part of the passage in one stretch. Null, empty and wordless texts hold nothing; passages shorter than a phrase
-    are not found. Equal texts under several ids are searched once a shard and reported for each. Texts of any length are
-    searched whole, in overlapping pieces. A passage held several times gives its longest stretch. Extra columns are ignored.
+    share is the part of the passage in one stretch. Null, empty and wordless texts hold nothing. A passage is found from an intact
+    run of PHRASE of its words on, or whole if it has fewer. Equal texts under several ids are searched once a shard and reported
+    for each. Texts of any length are searched whole, in overlapping pieces. A passage held several times gives its longest
+    stretch. Extra columns are ignored.
     """
     spark = docs.sparkSession
     parts: list[list[tuple[int, str]]] = [[]]
     room = PART_WORDS
-    for r in passages.select("passage_id", "text").where("text IS NOT NULL AND passage_id IS NOT NULL").orderBy("passage_id").toLocalIterator():  # evaluation sets are small; the corpus never comes here
+    for r in passages.select("passage_id", "text").where("text IS NOT NULL AND passage_id IS NOT NULL").orderBy("passage_id").toLocalIterator():  # the query set; the corpus never comes here
         room -= len(r.text) // 3
         if room < 0 and parts[-1]:
             parts.append([])
             room = PART_WORDS - len(r.text) // 3
         parts[-1].append((r.passage_id, r.text))
-    found = None
-    for part in parts:
-        shared = spark.sparkContext.broadcast(([i for i, _ in part], [t for _, t in part]))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ps = _Passages(*shared.value, PHRASE)
-            overlap = 3 * ps.longest + 2 * BAND
-            find = word_pattern().findall
-
-            def fresh():
-                return [], [], {}, {}, {}
-
-            def flush():
-                rows = []
-                for doc, pa, share, a, b in _search_shard(pieces, texts, number, ps):
-                    rows += [(i, ps.ids[pa], share, a, b) for i in holders[doc]]
-                return pd.DataFrame(rows, columns=["doc_id", "passage_id", "share", "start", "end"])
-
-            pieces, texts, number, raw, holders = fresh()
-            same: dict[str, int] = {}
-            total = 0
-            for pdf in batches:
-                for i, t in zip(pdf["doc_id"], pdf["text"]):
-                    if t in same:
-                        holders[same[t]].append(i)
-                        continue
-                    doc = len(holders)
-                    same[t] = doc
-                    holders[doc] = [i]
-                    ws: list[str] = []
-                    for w in find(t):
-                        v = raw.get(w)
-                        if v is None:
-                            v = raw[w] = loose(w)
-                        if v:
-                            ws.append(v)
-                    for a in range(0, max(1, len(ws)), SHARD_WORDS - overlap if len(ws) > SHARD_WORDS else max(1, len(ws))):
-                        own = ws[a : a + SHARD_WORDS]
-                        pieces.append((doc, a, np.fromiter((number.setdefault(w, len(number) + 1) for w in own), np.int64, len(own))))
-                        texts.append(own)
-                        total += len(own)
-                        if total >= SHARD_WORDS:
-                            yield flush()
-                            pieces, texts, number, raw = [], [], {}, {}
-                            same = {}  # a later copy of a text of which a piece is gone is searched afresh
-                            holders = {0: holders[doc]} if a + SHARD_WORDS < len(ws) else {}
-                            doc = 0  # the rest of a long text
-                            total = 0
-            if pieces:
-                yield flush()
-
-        rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).dropna().mapInPandas(search, "doc_id long, passage_id long, share double, start long, end long")
-        found = rows if found is None else found.unionByName(rows)
+    shared = [spark.sparkContext.broadcast(([i for i, _ in p], [t for _, t in p])) for p in parts]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = [_Passages(*b.value, PHRASE) for b in shared]
+        overlap = 3 * max(ps.longest for ps in blocks) + 2 * BAND
+        step = max(SHARD_WORDS - overlap, SHARD_WORDS // 2)
+        find = word_pattern().findall
+
+        def flush():
+            shard = _Shard(pieces, texts, number)
+            rows = [(i, ps.ids[pa], share, a, b) for ps in blocks for doc, pa, share, a, b in _search_shard(shard, ps) for i in holders[doc]]
+            return pd.DataFrame(rows, columns=["doc_id", "passage_id", "share", "start", "end"])
+
+        pieces, texts, number, raw, holders = [], [], {}, {}, {}
+        same: dict[str, int] = {}
+        total = 0
+        for pdf in batches:
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
+                if t in same:
+                    holders[same[t]].append(i)
+                    continue
+                doc = len(holders)
+                same[t] = doc
+                holders[doc] = [i]
+                ws: list[str] = []
+                for w in find(t):
+                    v = raw.get(w)
+                    if v is None:
+                        v = raw[w] = loose(w)
+                    if v:
+                        ws.append(v)
+                for a in range(0, max(1, len(ws)), step if len(ws) > SHARD_WORDS else max(1, len(ws))):
+                    own = ws[a : a + SHARD_WORDS]
+                    pieces.append((doc, a, np.fromiter((number.setdefault(w, len(number) + 1) for w in own), np.int64, len(own))))
+                    texts.append(own)
+                    total += len(own)
+                    if total >= SHARD_WORDS:
+                        yield flush()
+                        pieces, texts, number, raw = [], [], {}, {}
+                        same = {}  # a later copy of a text of which a piece is gone is searched afresh
+                        holders = {0: holders[doc]} if a + SHARD_WORDS < len(ws) else {}
+                        doc = 0  # the rest of a long text
+                        total = 0
+        if pieces:
+            yield flush()
+
+    found = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).dropna().mapInPandas(search, "doc_id long, passage_id long, share double, start long, end long")
     best = F.max(F.struct("share", "start", "end")).alias("b")
     return found.groupBy("doc_id", "passage_id").agg(best).select("doc_id", "passage_id", "b.share", "b.start", "b.end")
 
