@@ -5,9 +5,14 @@ coverage rank at a share is the size of the smallest such frequency-ranked
 vocabulary that covers this share of its words. Coverage ranks at several shares,
 word length and sentence length are calibrated on the graded passages: SQL
 aggregates give the mean of every level and the pooled covariance, and the level
-whose mean is nearest under that covariance is taken. Latin and Arabic words are
-measured apart and their evidence is added by their number of words, so that mixed
-documents need no model of their own.
+whose mean is nearest under that covariance is taken: a linear score per level, which
+is a column expression. Latin and Arabic words are measured apart and their evidence
+is added by their number of words, so that mixed documents need no model of their own.
+
+Ranks reach the words in two ways at once. The most frequent words of each script, a
+fixed number, are broadcast: they are nearly all that a text consists of. The rarer
+words of a text are joined with their ranks; none of them is frequent, so no key of
+that join is hot, and a stop word is never shuffled.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from maskwright.functions import charmap
 from maskwright.functions.session import cut, table
 
 SHARES = (0.3, 0.5, 0.65, 0.8, 0.9, 0.95)
-#: A vocabulary of up to so many words is broadcast; a larger one is joined.
-BROADCAST_WORDS = 2_000_000
+#: Words of each script whose ranks are broadcast, those of highest rank; the others are joined.
+HEAD_WORDS = 200_000
 #: Words a sentence, above which a document is taken to lack punctuation, and sentence length says nothing.
 LONGEST_MEAN = 35.0
 FEATURES = [f"c{int(s * 100)}" for s in SHARES] + ["mean_rank", "word_len", "sentence_len"]
@@ -79,67 +84,84 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).where(F.col(text).isNotNull()).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def ranks(counts: DataFrame) -> DataFrame:
-    """(word, rank): one more than the number of more frequent words of its script; equal counts share a rank.
+def ranks(counts: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
+    """(word, rank, head): rank is one more than the number of more frequent words of its script; equal counts share a rank. head:
+    it is among the head_words first, with all that share its rank.
 
     The running sum is over distinct counts, of which there are few, not over words.
     """
     counts = counts.withColumn("arabic", F.col("word").rlike(r"^[؀-ۿ]"))
     by_count = counts.groupBy("arabic", "n").agg(F.count("*").alias("words"))
     ranked = counts.sparkSession.sql(
-        """SELECT arabic, n, coalesce(sum(words) OVER (PARTITION BY arabic ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS rank
+        """SELECT arabic, n, words, coalesce(sum(words) OVER (PARTITION BY arabic ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS rank
            FROM {c}""", c=by_count)
-    return counts.join(ranked, ["arabic", "n"]).select("word", "rank")
+    return counts.join(ranked, ["arabic", "n"]).select("word", "rank", (F.col("rank") + F.col("words") - 1 <= head_words).alias("head"))
 
 
-def _features(sents: list[list[str]], rank) -> list[tuple]:
-    """A row of features for each script in a text: arabic, n, then FEATURES. rank: word -> rank."""
+def _coverage(rank: np.ndarray, k: np.ndarray) -> list[float]:
+    """Log coverage rank at each share, and the mean log rank, of words with these ranks, k times each."""
+    by = np.argsort(rank, kind="stable")
+    r, upto = np.log(rank[by].astype(float)), np.cumsum(k[by])
+    n = int(upto[-1])
+    at = np.searchsorted(upto, [min(n, max(1, int(np.ceil(s * n)))) for s in SHARES])
+    return [*map(float, r[at]), float((r * k[by]).sum() / n)]
+
+
+def _measure(sents: list[list[str]], rank) -> list[tuple]:
+    """A row for each script in a text: arabic, n, coverage or None, word length, sentence length, ranks and counts of the words
+    that rank knows and the others with their counts. The coverage is there if rank knows all."""
     rows = []
     for arabic in (False, True):
         own = [s for s in ([w for w in s if _arabic(w) is arabic] for s in sents) if s]
         n = sum(map(len, own))
         if not n:
             continue
-        words = [w for s in own for w in s]
-        r = np.sort(np.log(np.fromiter((rank(w) for w in words), float, n)))
-        cover = [r[min(n - 1, int(np.ceil(s * n)) - 1)] for s in SHARES]
+        c = Counter(w for s in own for w in s)
+        got = [(rank(w), k, w) for w, k in c.items()]
+        head, rest = [(r, k) for r, k, _ in got if r is not None], [(w, k) for r, k, w in got if r is None]
         mean = n / len(own)
-        rows.append((arabic, n, *map(float, cover), float(r.mean()), sum(map(len, words)) / n, float(np.log(mean)) if mean <= LONGEST_MEAN else None))
+        shape = (sum(len(w) * k for w, k in c.items()) / n, float(np.log(mean)) if mean <= LONGEST_MEAN else None)
+        r, k = np.array([x[0] for x in head], np.int64), np.array([x[1] for x in head], np.int64)
+        if rest:
+            rows.append((arabic, n, [None] * (len(SHARES) + 1), shape, r, k, [x[0] for x in rest], [x[1] for x in rest]))
+        else:
+            rows.append((arabic, n, _coverage(r, k), shape, r[:0], k[:0], [], []))
     return rows
 
 
-_SCHEMA = "id long, arabic boolean, n long, " + ", ".join(f"{f} double" for f in FEATURES)
+_COVER = FEATURES[: len(SHARES) + 1]
+_KEYS = "id long, arabic boolean, n long, "
+_DOUBLES = ", ".join(f"{f} double" for f in FEATURES)
 
 
-def features(docs: DataFrame, ranked: DataFrame, n_words: int, key: str, text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(id, arabic, n, FEATURES): one row per text and script in it. n_words: rows of ranked, whose size decides how it is reached."""
+def features(docs: DataFrame, ranked: DataFrame, n_words: int, key: str, text: str = "text") -> DataFrame:
+    """(id, arabic, n, FEATURES): one row per text and script in it. ranked: word, rank, head; n_words: its rows. A word that is
+    not in it comes after all that are."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    if n_words <= broadcast_words:
-        known = ranked.toPandas()  # checked: at most broadcast_words rows
-        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(known["word"], known["rank"].astype("int64"))))
-        last = n_words + 1
-
-        def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            get = shared.value.get
-            for pdf in parts:
-                rows = [(i, *r) for i, t in zip(pdf["id"], pdf["text"]) for r in _features(sentences_of(t), lambda w: get(w, last))]
-                yield pd.DataFrame(rows, columns=["id", "arabic", "n", *FEATURES])
+    known = ranked.where("head").select("word", "rank").toPandas()  # HEAD_WORDS a script at most
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(known["word"], known["rank"].astype("int64"))))
 
-        return docs.mapInPandas(measure, _SCHEMA)
-
-    def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = shared.value.get
         for pdf in parts:
-            for i, t in zip(pdf["id"], pdf["text"]):
-                rows = [(i, k, w) for k, s in enumerate(sentences_of(t)) for w in s]
-                yield pd.DataFrame(rows, columns=["id", "sentence", "word"])
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = dict(zip(pdf["word"], pdf["rank"]))
-        sents = [list(g) for _, g in pdf.groupby("sentence")["word"]]
-        return pd.DataFrame([(pdf["id"].iloc[0], *r) for r in _features(sents, rank.__getitem__)], columns=["id", "arabic", "n", *FEATURES])
+            rows = [(i, a, n, *cover, *shape, *rest) for i, t in zip(pdf["id"], pdf["text"]) for a, n, cover, shape, *rest in _measure(sentences_of(t), get)]
+            yield pd.DataFrame(rows, columns=["id", "arabic", "n", *FEATURES, "ranks", "counts", "words", "times"])
+
+    got = docs.mapInPandas(measure, f"{_KEYS}{_DOUBLES}, ranks array<long>, counts array<long>, words array<string>, times array<long>")
+    got = cut(got.withColumn("row", F.monotonically_increasing_id()))
+    columns = ["id", "arabic", "n", *FEATURES]
+    part = got.where("size(words) > 0")
+    rare = part.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
+    rare = rare.join(ranked.where("NOT head").select("word", "rank"), "word", "left").select("row", F.coalesce("rank", F.lit(n_words + 1)).alias("rank"), "k")
+    rest = rare.groupBy("row").agg(F.collect_list("rank").alias("ranks2"), F.collect_list("k").alias("counts2"))  # the words of one text
+
+    def complete(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            cover = [_coverage(np.concatenate([a, c]).astype(np.int64), np.concatenate([b, d]).astype(np.int64)) for a, b, c, d in zip(pdf["ranks"], pdf["counts"], pdf["ranks2"], pdf["counts2"])]
+            pdf[_COVER] = np.array(cover, float).reshape(-1, len(_COVER))
+            yield pdf[columns]
 
-    words = docs.mapInPandas(explode, "id long, sentence int, word string").join(ranked, "word", "left")
-    return words.withColumn("rank", F.coalesce("rank", F.lit(n_words + 1))).groupBy("id").applyInPandas(gather, _SCHEMA)
+    return got.where("size(words) = 0").select(*columns).unionByName(part.join(rest, "row").select(*columns, "ranks", "counts", "ranks2", "counts2").mapInPandas(complete, _KEYS + _DOUBLES))
 
 
 def calibrate(measured: DataFrame) -> dict:
@@ -163,37 +185,44 @@ def calibrate(measured: DataFrame) -> dict:
     return out
 
 
-def reading_levels(docs: DataFrame, graded: DataFrame, *, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def _scores(model: dict, levels: list[int]) -> list:
+    """A column per level: the distance of a row's features from the level's mean, less what is the same for all levels, times n.
+    The distance is quadratic, but its quadratic part does not depend on the level, so a linear score is left."""
+    out = []
+    for level in levels:
+        score = None
+        for (arabic, k), (lvs, mean, inv) in model.items():
+            here = (F.col("arabic") == arabic) & (F.col(FEATURES[-1]).isNotNull() == (k == len(FEATURES)))
+            if level in lvs:
+                m = mean[lvs.index(level)]
+                value = F.lit(float(m @ inv @ m))
+                for f, w in zip(FEATURES, inv @ m):
+                    value = value - F.lit(2.0 * float(w)) * F.col(f)
+            else:
+                value = F.lit(0.0)
+            score = F.when(here, value) if score is None else score.when(here, value)
+        out.append((score.otherwise(0.0) if score is not None else F.lit(0.0)) * F.col("n"))
+    return out
+
+
+def reading_levels(docs: DataFrame, graded: DataFrame, *, head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, level, n_words, coverage_rank): a level for every document with non-blank text.
 
     Null and blank texts get no row. A text without any word (digits, signs) gets level 1, 0 words and a null coverage rank.
     A document is measured as a whole, so a few sentences of a neighbouring level do not move it; ties go to the lower level.
     The ranks come from all documents. Duplicate doc_ids give a row each when the text is the same row-wise table; extra
-    columns are ignored.
+    columns are ignored. head_words changes the way that ranks take, not the result.
     """
     docs = docs.select("doc_id", "text")
-    ranked = cut(ranks(word_counts(docs)))
+    ranked = cut(ranks(word_counts(docs), head_words))
     n_words = ranked.count()
-    small = features(graded.select(F.col("excerpt_id").cast("long").alias("excerpt_id"), "text"), ranked, n_words, "excerpt_id", broadcast_words=broadcast_words)
+    small = features(graded.select(F.col("excerpt_id").cast("long").alias("excerpt_id"), "text"), ranked, n_words, "excerpt_id")
     model = calibrate(cut(small.join(graded.select(F.col("excerpt_id").cast("long").alias("id"), "level"), "id")))
-    measured = features(docs, ranked, n_words, "doc_id", broadcast_words=broadcast_words)
-
-    levels = sorted({lv for lvs, _, _ in model.values() for lv in lvs})
-
-    @F.pandas_udf("array<double>")
-    def distances(arabic: pd.Series, n: pd.Series, *cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        out = np.zeros((len(arabic), len(levels)))
-        side, full = arabic.to_numpy(dtype=bool), ~np.isnan(x[:, -1])
-        for (script, k), (lvs, mean, inv) in model.items():
-            rows = np.flatnonzero((side == script) & (full == (k == len(FEATURES))))
-            if len(rows):
-                d = x[rows, None, :k] - mean[None]
-                out[np.ix_(rows, [levels.index(v) for v in lvs])] = np.einsum("rli,ij,rlj->rl", d, inv, d)
-        return pd.Series(list(out * n.to_numpy(dtype=float)[:, None]))
-
-    scored = measured.withColumn("d", distances("arabic", "n", *FEATURES))
-    per_doc = scored.groupBy("id").agg(F.sum("n").alias("n_words"), F.max(F.struct("n", F.round(F.exp("c80")).cast("long").alias("c"))).getField("c").alias("coverage_rank"), *[F.sum(F.col("d")[i]).alias(f"d{i}") for i in range(len(levels))])
+    measured = features(docs, ranked, n_words, "doc_id")
+
+    levels = sorted({lv for lvs, _, _ in model.values() for lv in lvs}) or [1]
+    scored = measured.select("id", "n", "c80", *[c.alias(f"d{i}") for i, c in enumerate(_scores(model, levels))])
+    per_doc = scored.groupBy("id").agg(F.sum("n").alias("n_words"), F.max(F.struct("n", F.round(F.exp("c80")).cast("long").alias("c"))).getField("c").alias("coverage_rank"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(levels))])
     best = F.array_min(F.array(*[F.struct(F.col(f"d{i}").alias("d"), F.lit(v).alias("level")) for i, v in enumerate(levels)])).getField("level")
     return (
         docs.where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]")).select(F.col("doc_id").alias("id"))
