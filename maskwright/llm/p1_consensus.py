@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from maskwright.functions.session import cut, table
 from maskwright.llm.common import canonical_label
 
-ROUNDS = 12
+#: Rounds go on until no ability moves by TOLERANCE; a fit that needs more than ROUNDS says so in its report.
+ROUNDS, TOLERANCE = 100, 0.01
 INNER = 4
 #: Options that a wrong mark is spread over besides those that were marked.
 SPREAD = 8.0
@@ -84,8 +85,9 @@ class _Batch:
         sizes = np.diff(ann.offsets.to_numpy())
         self.n = len(sizes)
         self.item = np.repeat(np.arange(self.n), sizes)
-        self.who = ann.flatten().to_pylist()
-        self.a = np.fromiter((ability.get(w, PRIOR_MEAN) for w in self.who), float, len(self.who))
+        coded = ann.flatten().dictionary_encode()
+        self.people, self.code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.a = np.array([ability.get(w, PRIOR_MEAN) for w in self.people], float)[self.code]
         self.choice = c["choices"].flatten().to_numpy(zero_copy_only=False)
         self.k = np.diff(c["starts"].offsets.to_numpy()) + 1
         self.first = np.concatenate([[0], np.cumsum(self.k)[:-1]])
@@ -136,17 +138,19 @@ def _pass(items: DataFrame, ability: dict[str, float], nu: float) -> list:
             logb, q, right, p = x.settle(nu)
             beta = np.exp(logb)[x.item]
             some = 1 - q[x.first][x.item]  # the item holds something
-            f = pd.DataFrame({"who": x.who, "g": (right - p) * beta, "h": p * (1 - p) * beta**2, "n": 1.0, "right": right, "miss": np.where(x.choice == 0, 1 - right, 0.0), "slip": np.where(x.choice > 0, np.maximum(0, some - right), 0.0)})
-            yield pa.RecordBatch.from_pandas(f.groupby("who", sort=True).sum().reset_index(), preserve_index=False)
+            total = lambda v: np.bincount(x.code, v, len(x.people))  # noqa: B023, E731
+            sums_of = [total(v) for v in ((right - p) * beta, p * (1 - p) * beta**2, np.ones(len(right)), right, np.where(x.choice == 0, 1 - right, 0.0), np.where(x.choice > 0, np.maximum(0, some - right), 0.0))]
+            yield pa.RecordBatch.from_arrays([pa.array(x.people, pa.string()), *map(pa.array, sums_of)], ["who", "g", "h", "n", "right", "miss", "slip"])
 
     return items.mapInArrow(sums, "who string, g double, h double, n double, right double, miss double, slip double").groupBy("who").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n", "right", "miss", "slip")]).orderBy("who").collect()
 
 
-def fit(items: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, dict], float]:
-    """({annotator: ability, votes, reliability}, share of misses among wrong votes)."""
+def fit(items: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, dict], float, list[dict]]:
+    """({annotator: ability, votes, reliability}, share of misses among wrong votes, report: a row per round). The last row tells
+    whether the fit has converged."""
     ability: dict[str, float] = {}
-    nu, out = 0.5, {}
-    for _ in range(rounds):
+    nu, out, report = 0.5, {}, []
+    for n in range(rounds):
         moved = 0.0
         rows = _pass(items, ability, nu)
         for r in rows:
@@ -159,9 +163,10 @@ def fit(items: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, dict], float]
         miss, slip = sum(r.miss for r in rows), sum(r.slip for r in rows)
         if miss + slip > 0:
             nu = min(0.95, max(0.05, miss / (miss + slip)))
-        if moved < 0.01:
+        report.append({"round": n + 1, "largest_step": moved, "miss_share": nu, "converged": moved < TOLERANCE})
+        if moved < TOLERANCE:
             break
-    return out, nu
+    return out, nu, report
 
 
 def _accept(starts, ends, labels, score, none_score) -> Iterator[int]:
@@ -182,7 +187,7 @@ def consensus(marks: DataFrame, tasks: DataFrame, *, rounds: int = ROUNDS) -> tu
     """
     spark = marks.sparkSession
     items = cut(build_items(marks, tasks))
-    people, nu = fit(items, rounds)
+    people, nu, _ = fit(items, rounds)
     ability = {k: v["ability"] for k, v in people.items()}
 
     def decide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +204,14 @@ def consensus(marks: DataFrame, tasks: DataFrame, *, rounds: int = ROUNDS) -> tu
                 at = np.concatenate([[0], np.cumsum(np.bincount(x.item, minlength=x.n))])
                 for i in range(x.n):
                     lo, hi = at[i], at[i + 1]
-                    ch, w, nw, who = x.choice[lo:hi], weight[lo:hi], none_weight[lo:hi], x.who[lo:hi]
+                    ch, w, nw, who = x.choice[lo:hi], weight[lo:hi], none_weight[lo:hi], x.code[lo:hi]
                     k = x.k[i] - 1
                     score = [float(w[ch == o + 1].sum()) for o in range(k)]
                     against = []
                     for o in range(k):
                         near = {who[v] for v in range(hi - lo) if ch[v] and S[i][ch[v] - 1] < E[i][o] and E[i][ch[v] - 1] > S[i][o]}
                         near |= {who[v] for v in range(hi - lo) if ch[v] == o + 1}
-                        seen: set[str] = set()
+                        seen: set[int] = set()
                         total = 0.0
                         for v in range(hi - lo):
                             if who[v] not in near and who[v] not in seen:
@@ -258,5 +263,11 @@ def p1_agreement(spark, d):
     return _of(spark, d)[2]
 
 
-QUERIES = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p1_agreement": p1_agreement}
+def p1_convergence(spark, d):
+    """The rounds of the fit: the largest step of any ability, the share of misses among wrong votes, and whether it has converged."""
+    report = fit(cut(build_items(table(spark, d, "spans_b"), table(spark, d, "annotation_task"))))[2]
+    return spark.createDataFrame([(r["round"], r["largest_step"], r["miss_share"], r["converged"]) for r in report], "round int, largest_step double, miss_share double, converged boolean")
+
+
+QUERIES = {"p1_convergence": p1_convergence, "p1_found": p1_found, "p1_annotators": p1_annotators, "p1_agreement": p1_agreement}
 ORACLE: dict[str, str] = {}
