@@ -14,6 +14,7 @@ distinct shape and word of a batch and then only looked up.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import charmap
-from maskwright.functions.session import table
+from maskwright.functions.session import shared_dir, table
 from maskwright.llm.common import LABELS, canonical_label, squash
 
 #: The model is fitted on at most so many reviewed sentences, and on so many that are labelled to hold nothing, those with the
@@ -234,8 +236,9 @@ def viterbi(e: np.ndarray, n: np.ndarray, trans: np.ndarray, start: np.ndarray)
     best_end[:, 0] = v.argmax(1)
     for j in range(1, t):
         m = v[:, :, None] + trans
-        back[:, j] = m.argmax(1)
-        v = m.max(1) + e[:, j]
+        k = m.argmax(1)
+        back[:, j] = k
+        v = np.take_along_axis(m, k[:, None], 1)[:, 0] + e[:, j]
         best_end[:, j] = v.argmax(1)
     out = np.zeros((b, t), np.int64)
     rows = np.arange(b)
@@ -405,9 +408,37 @@ def fit(rows: list, iterations: int = ITERATIONS) -> Model:
     return train(seqs, tags, iterations)
 
 
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """The model as one row of a table; a model that is there already stays."""
+    names = sorted(model.names, key=model.names.__getitem__)
+    row = (names, *(bytes(np.ascontiguousarray(x, np.float32)) for x in (model.weights, model.trans, model.start)), list(model.weights.shape))
+    spark.createDataFrame([row], "names array<string>, weights binary, trans binary, start binary, shape array<int>").coalesce(1).write.mode("ignore").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    r = spark.read.parquet(path).first()
+    numbers = lambda b, shape: np.frombuffer(b, np.float32).reshape(shape)
+    return Model({n: i for i, n in enumerate(r.names)}, numbers(r.weights, r.shape), numbers(r.trans, (N, N)), numbers(r.start, N))
+
+
+def model_of(items: DataFrame, gold: DataFrame) -> Model:
+    """The model for these tables: fitted once and kept in the shared folder under a digest of its training rows and parameters,
+    from where later queries load it."""
+    spark = items.sparkSession
+    rows = training_rows(items, gold)
+    said = repr([(r["text"], [tuple(x) for x in r["spans"] or []]) for r in rows]) + f"|{ITERATIONS}|{WINDOW}|{DROPOUT}"
+    path = f"{shared_dir(spark).rstrip('/')}/p5-model-{hashlib.sha256(said.encode()).hexdigest()[:32]}"
+    try:
+        return load(spark, path)
+    except AnalysisException:  # there is none yet
+        model = fit(rows)
+        save(model, spark, path)
+        return model
+
+
 def detect(texts: DataFrame, model: Model) -> DataFrame:
-    """(sentence_id, start, end, label) for every text. Null and blank texts hold nothing; texts of any length are decoded whole.
-    Repeated rows give their spans once; a sentence_id with several texts gives the spans of each."""
+    """(sentence_id, text_key, start, end, label) for every text. Null and blank texts hold nothing; texts of any length are decoded
+    whole. Repeated rows give their spans once; a sentence_id with several texts gives the spans of each, told apart by text_key."""
     shared = texts.sparkSession.sparkContext.broadcast((model.names, model.weights, model.trans, model.start))
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -417,41 +448,47 @@ def detect(texts: DataFrame, model: Model) -> DataFrame:
                 part = pdf.iloc[lo : lo + 2048]
                 toks = [tokens(t) for t in part["text"]]
                 tags = m.decode([[k for _, _, k in x] for x in toks])
-                rows = [(i, *s) for i, t, x, y in zip(part["sentence_id"], part["text"], toks, tags) for s in spans_of(t, x, y)]
-                yield pd.DataFrame(rows, columns=["sentence_id", "start", "end", "label"])
+                rows = [(i, h, *s) for i, h, t, x, y in zip(part["sentence_id"], part["text_key"], part["text"], toks, tags) for s in spans_of(t, x, y)]
+                yield pd.DataFrame(rows, columns=["sentence_id", "text_key", "start", "end", "label"])
 
-    return texts.select("sentence_id", "text").dropna().distinct().mapInPandas(find, "sentence_id string, start int, end int, label string").distinct()
+    own = texts.select("sentence_id", "text").dropna().distinct().withColumn("text_key", F.xxhash64("text"))
+    return own.mapInPandas(find, "sentence_id string, text_key long, start int, end int, label string")
 
 
 def mask(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(sentence_id, text, masked, n_spans): each span replaced by its type in brackets, the rest of the text kept."""
-    packed = spans.groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("s"))
+    """(sentence_id, text, masked, n_spans): each span replaced by its type in brackets, the rest of the text kept. spans have the
+    text_key of their text, so a sentence_id with several texts has each masked by its own."""
+    packed = spans.groupBy("sentence_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "label"))).alias("s"))
     piece = F.expr(
         "aggregate(s, named_struct('out', '', 'at', 0), (a, x) -> if(x.start < a.at, a, named_struct('out', concat(a.out, substring(text, a.at + 1, x.start - a.at), '[', x.label, ']'), 'at', x.end)), "
         "a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    t = texts.select("sentence_id", "text").dropna(subset=["sentence_id"]).distinct()
-    return t.join(packed, "sentence_id", "left").select("sentence_id", "text", F.when(F.col("s").isNull(), F.col("text")).otherwise(piece).alias("masked"), F.coalesce(F.size("s"), F.lit(0)).alias("n_spans"))
+    t = texts.select("sentence_id", "text").dropna(subset=["sentence_id"]).distinct().withColumn("text_key", F.xxhash64("text"))
+    return t.join(packed, ["sentence_id", "text_key"], "left").select("sentence_id", "text", F.when(F.col("s").isNull(), F.col("text")).otherwise(piece).alias("masked"), F.coalesce(F.size("s"), F.lit(0)).alias("n_spans"))
 
 
 def _texts(spark, d) -> DataFrame:
     return table(spark, d, "items").select("sentence_id", "text").unionByName(table(spark, d, "sample_for_annotation").select("sentence_id", "text"))
 
 
-def _model(spark, d) -> Model:
-    return fit(training_rows(table(spark, d, "items"), table(spark, d, "gold")))
+def _found(spark, d) -> DataFrame:
+    reviewed = table(spark, d, "gold").select("sentence_id").distinct()
+    model = model_of(table(spark, d, "items"), table(spark, d, "gold"))
+    return detect(_texts(spark, d).join(reviewed, "sentence_id", "left_anti"), model)
 
 
 def p5_found(spark, d):
-    reviewed = table(spark, d, "gold").select("sentence_id").distinct()
-    return detect(_texts(spark, d).join(reviewed, "sentence_id", "left_anti"), _model(spark, d))
+    return _found(spark, d).select("sentence_id", "start", "end", "label").distinct()
 
 
 def p5_masked(spark, d):
-    """Every sentence with typed placeholders: the reviewed spans where there are any, the model's elsewhere."""
+    """Every sentence with typed placeholders: the reviewed spans where there are any (they name a sentence, so they hold for each
+    of its texts that is long enough), the model's elsewhere."""
     texts = _texts(spark, d)
     gold = table(spark, d, "gold").select("sentence_id", "start", "end", canonical_label("label").alias("label")).dropna().distinct()
-    return mask(texts, p5_found(spark, d).unionByName(gold)).select("sentence_id", "masked", "n_spans")
+    own = texts.dropna().distinct().withColumn("text_key", F.xxhash64("text"))
+    reviewed = own.join(gold, "sentence_id").where(F.col("end") <= F.length("text")).select("sentence_id", "text_key", "start", "end", "label")
+    return mask(texts, _found(spark, d).unionByName(reviewed)).select("sentence_id", "masked", "n_spans")
 
 
 QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked}

@@ -40,6 +40,8 @@ def test_p1(spark):
     assert len(got & truth) >= 118 and got <= truth
     rel = {r.annotator_id: r.reliability for r in people.collect()}
     assert min(rel[a] for a in good) > max(rel[a] for a in bad)
+    report = p1.fit(p1.build_items(spark.createDataFrame(marks, MARKS), spark.createDataFrame(tasks, TASKS)))[2]
+    assert report[-1]["converged"] and not any(r["converged"] for r in report[:-1])
     assert {r.label for r in agree.collect()} >= {"ALL", "PHONE"} and all(-1 <= r.kappa <= 1 for r in agree.collect())
     empty = p1.consensus(spark.createDataFrame([], MARKS), spark.createDataFrame([], TASKS))
     assert empty[0].count() == 0 and empty[1].count() == 0 and empty[2].count() == 0
@@ -222,6 +224,13 @@ def test_p5_tokens_and_model(spark):
     m = {r.sentence_id: r for r in p5.mask(df.where("sentence_id <> 'd'"), got).collect()}
     assert m["a"].masked.startswith("Please ask [PERSON] about it. Call [PHONE] today.") and m["b"].masked is None and m["c"].masked == ""
     assert p5.detect(df.where("false"), model).count() == 0
+    two = spark.createDataFrame([("a", probe), ("a", "Order 5 shipped. " + probe)], "sentence_id string, text string")
+    both = {r.text: r.masked for r in p5.mask(two, p5.detect(two, model)).collect()}
+    assert both["Order 5 shipped. " + probe] == "Order 5 shipped. " + both[probe] and both[probe] == m["a"].masked  # each by its own spans
+    path = p5.shared_dir(spark) + "/model-test"
+    p5.save(model, spark, path)
+    again = p5.load(spark, path)
+    assert sorted(map(tuple, p5.detect(df, again).collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_p5_viterbi_is_exact():
