@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -23,8 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="maskwright-")
         spark.sparkContext.setCheckpointDir(found)
-        import atexit
-
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
     return found
 
@@ -33,6 +32,9 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a columnar, compressed cut of the lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    # Results are lazy, so they may read a cut long after the query returned it: it goes when the application ends.
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -40,13 +42,19 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a partition from which moving rows to more tasks is not worth it.
+SPREAD_BELOW = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if its scan has few. For work that costs far more than moving its rows: a small
-    file is one row group, so one task reads all of it, however many splits it has. A table of many files stays as it is."""
+    """df over all cores, if it is a small table: a small file is one row group, so one task reads all of it, however many splits it
+    has. That is decided by bytes: only a table with less than SPREAD_BELOW for each core is moved, which is a bounded amount,
+    and never into fewer partitions than it has. A larger table, or a stream, stays as it is."""
     sc = df.sparkSession.sparkContext
-    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * sc.defaultParallelism:
+    if df.isStreaming or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() >= SPREAD_BELOW * sc.defaultParallelism:
         return df
-    return df.repartition(sc.defaultParallelism)
+    n = df.rdd.getNumPartitions()
+    return df.repartition(max(n, sc.defaultParallelism)) if n < 4 * sc.defaultParallelism else df
 
 
 _SHIPPED: set[str] = set()
@@ -58,12 +66,14 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="maskwright-"), "maskwright.zip")
+    folder = tempfile.mkdtemp(prefix="maskwright-")  # on the driver, which serves the file to the workers while it lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "maskwright.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(root):
+        for at, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(at, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
