@@ -78,9 +78,11 @@ def equivalence_classes(texts: DataFrame) -> DataFrame:
     ascii_only = ~F.col("text").rlike(r"[^\x00-\x7F]")
     distinct = texts.where("text IS NOT NULL").select("src", "text").distinct()
     shown = distinct.select("src", "text", F.when(ascii_only, F.col("text")).otherwise(mapped(F.col("text"))).alias("seen"))
-    shown = cut(shown.withColumn("outline", outline(F.col("seen"))))
+    # seen is kept only where it is not the text itself
+    shown = cut(shown.select("src", "text", F.nullif("seen", "text").alias("altered"), outline(F.col("seen")).alias("outline")))
     shared = shown.groupBy("src", "outline").agg(F.count("*").alias("n")).where("n > 1").select("src", "outline")
-    several = cut(shown.join(shared, ["src", "outline"], "left_semi").withColumn("odd", strangeness(F.col("text"))))
+    several = shown.join(shared, ["src", "outline"], "left_semi")
+    several = cut(several.select("src", "text", F.coalesce("altered", "text").alias("seen"), strangeness(F.col("text")).alias("odd")))
     return spark.sql(
         """
         WITH class AS (
@@ -107,9 +109,11 @@ def pairs(rows: DataFrame) -> DataFrame:
     Rows with a null key or text are in no pair. Distinct texts of a class are paired first and then meet their keys, so copies
     of one text never meet each other; what remains is the result, which is pairs, as its users ask for them.
     """
-    several = equivalence_classes(rows).where("n_texts > 1").select("src", "text", F.unhex(F.md5(F.col("canonical").cast("binary"))).alias("class"))
+    name = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))  # noqa: E731  128 bits stand for a text where it is only compared
+    several = equivalence_classes(rows).where("n_texts > 1").select("src", name("text").alias("name"), name("canonical").alias("class"))
     several = cut(several.withColumn("t", F.monotonically_increasing_id()))
-    keyed = cut(rows.where("key IS NOT NULL").join(several.select("src", "text", "t"), ["src", "text"]).select("t", "key").distinct())
+    named = rows.where("key IS NOT NULL AND text IS NOT NULL").select("src", "key", name("text").alias("name"))
+    keyed = cut(named.join(several.select("src", "name", "t"), ["src", "name"]).select("t", "key").distinct())
     a, b = several.alias("a"), several.alias("b")
     unlike = a.join(b, (F.col("a.src") == F.col("b.src")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.t") < F.col("b.t"))).select("a.src", F.col("a.t").alias("t"), F.col("b.t").alias("u"))
     met = unlike.join(keyed.withColumnRenamed("key", "x"), "t").join(keyed.select(F.col("t").alias("u"), F.col("key").alias("y")), "u").where("x <> y")
