@@ -51,7 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
     has. That is decided by bytes: only a table with less than SPREAD_BELOW for each core is moved, which is a bounded amount,
     and never into fewer partitions than it has. A larger table, or a stream, stays as it is."""
     sc = df.sparkSession.sparkContext
-    if df.isStreaming or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= SPREAD_BELOW * sc.defaultParallelism:
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_BELOW * sc.defaultParallelism:
         return df
     n = df.rdd.getNumPartitions()
     return df.repartition(max(n, sc.defaultParallelism)) if n < 4 * sc.defaultParallelism else df
