@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +78,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums in an order over all rows, this row included. No task gets more than a range of the order: rows are
+    range-partitioned and summed up inside each range, after the totals of the ranges before it - a row per partition."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__s_{k}") for k, c in sums.items()])
+    before = totals.select("__range", *[F.coalesce(F.sum(f"__s_{k}").over(upto), F.lit(0)).alias(f"__b_{k}") for k in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(before), "__range")
+    return out.select(*df.columns, *[(F.col(f"__b_{k}") + F.sum(c).over(inside)).alias(k) for k, c in sums.items()])

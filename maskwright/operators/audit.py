@@ -1,8 +1,15 @@
 """Stage 5: a signed, hash-chained log of redactions that holds digests and offsets, never text.
 
-A chain is serial, so logs are sharded: one group per log_id, chained in the order of
-seq. Keys reach the workers in a broadcast, never as a literal of a plan. Signatures
-are Ed25519 as in RFC 8032, written out here since no library for it is at hand.
+A chain is serial, so logs are sharded: one group per log_id. Rows that are appended
+together are chained in the order of seq, after all that the log held before; position
+counts the entries of a log in the order in which they were chained, and is what
+verification goes by. Only the hashes are made in that order: signatures are of single
+entries and are made in parallel. Keys reach the workers in a broadcast, never as a
+literal of a plan.
+
+Signatures are Ed25519 as in RFC 8032, written out here since no library for it is at
+hand. Big integers take time that depends on their values: sign where no one else can
+time the process.
 """
 
 from __future__ import annotations
@@ -10,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.session import spread
 from maskwright.schema import AUDIT_DDL
 
 GENESIS = "0" * 64
+COLUMNS = [c.split()[0] for c in re.sub("<[^>]*>", "", AUDIT_DDL.replace("array<struct<", "array<").replace(">>", ">")).split(", ")]
 
 # The curve of RFC 8032.
 _P = 2**255 - 19
@@ -48,19 +58,9 @@ def _add(p, q):
     return e * f % _P, g * h % _P, f * g % _P, e * h % _P
 
 
-def _mul(s: int, p):
-    q = (0, 1, 1, 0)
-    while s:
-        if s & 1:
-            q = _add(q, p)
-        p = _add(p, p)
-        s >>= 1
-    return q
-
-
-def _base_table() -> list[list[tuple]]:
-    """Multiples of the base point for each hexadecimal place of a scalar."""
-    out, p = [], _B
+def _multiples(p) -> list[list[tuple]]:
+    """Multiples of a point for each hexadecimal place of a scalar."""
+    out = []
     for _ in range(64):
         row = [(0, 1, 1, 0)]
         for _ in range(15):
@@ -70,20 +70,31 @@ def _base_table() -> list[list[tuple]]:
     return out
 
 
-_TABLE: list[list[tuple]] = []
+@lru_cache(1)
+def _of_base() -> list[list[tuple]]:
+    return _multiples(_B)
 
 
-def _mul_base(s: int):
-    if not _TABLE:
-        _TABLE.extend(_base_table())
+@lru_cache(8)
+def _of_key(pub: bytes) -> list[list[tuple]] | None:
+    """Multiples of a public key, which many signatures are checked against; None if it is no point."""
+    p = _unpack(pub)
+    return None if p is None else _multiples(p)
+
+
+def _mul(s: int, table: list[list[tuple]]):
     q = (0, 1, 1, 0)
-    for row in _TABLE:
+    for row in table:
         if s & 15:
             q = _add(q, row[s & 15])
         s >>= 4
     return q
 
 
+def _mul_base(s: int):
+    return _mul(s, _of_base())
+
+
 def _pack(p) -> bytes:
     z = pow(p[2], -1, _P)
     return (p[1] * z % _P | (p[0] * z % _P & 1) << 255).to_bytes(32, "little")
@@ -122,7 +133,7 @@ def sign(seed: bytes, message: bytes) -> bytes:
 def verify(pub: bytes, message: bytes, signature: bytes) -> bool:
     if len(signature) != 64:
         return False
-    a, r, s = _unpack(pub), _unpack(signature[:32]), int.from_bytes(signature[32:], "little")
+    a, r, s = _of_key(pub), _unpack(signature[:32]), int.from_bytes(signature[32:], "little")
     if a is None or r is None or s >= _Q:
         return False
     x, y = _mul_base(s), _add(r, _mul(_hash_int(signature[:32] + pub + message), a))
@@ -143,36 +154,49 @@ def canonical_bytes(entry: dict) -> bytes:
     return json.dumps(body, sort_keys=True, separators=(",", ":")).encode("utf-8")
 
 
-def append(redacted: DataFrame, *, hash_key: bytes, seed: bytes, heads: dict[str, str] | None = None, model: str = "rules", client: str = "") -> DataFrame:
-    """Audit entries of redacted rows, chained per log_id from the given heads (or from the beginning).
+def append(redacted: DataFrame, *, hash_key: bytes, seed: bytes, heads: DataFrame | None = None, model: str = "rules", client: str = "") -> DataFrame:
+    """Audit entries of redacted rows, chained per log_id from the given heads (log_id, count, head_hash; from the beginning
+    where there is none).
 
     redacted: log_id, seq, transaction_id, timestamp, normalized, redacted, spans. Null texts count as empty, null spans as none.
-    A log is one group, as its chain is serial: choose log ids so that no log holds more than a task can.
+    A log is one group, as its chain is serial: choose log ids so that no log gets more at once than a task can hold.
     """
-    keys = redacted.sparkSession.sparkContext.broadcast((hash_key, seed, dict(heads or {})))
+    keys = redacted.sparkSession.sparkContext.broadcast((hash_key, seed))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, own, first = keys.value
-        out, log = [], pdf["log_id"].iloc[0]
-        last = first.get(log, GENESIS)
+    def chained(pdf: pd.DataFrame, position: int, last: str) -> pd.DataFrame:
+        key = keys.value[0]
+        out = []
         for r in pdf.sort_values(["seq", "transaction_id"]).itertuples():
+            position += 1
             spans = r.spans if r.spans is not None else []
             e = {
                 "transaction_id": r.transaction_id, "timestamp": float(r.timestamp), "input_hash": keyed_digest(key, r.normalized or ""), "output_hash": keyed_digest(key, r.redacted or ""),
                 "entity_labels": [{"entity_type": s["entity_type"], "start": int(s["start"]), "end": int(s["end"])} for s in spans],
                 "model_version_hash": model, "client_cert_fingerprint": client, "previous_entry_hash": last,
             }
-            body = canonical_bytes(e)
-            last = hashlib.sha256(body).hexdigest()
-            out.append({"log_id": log, "seq": r.seq, **e, "entry_hash": last, "signature": sign(own, body).hex()})
-        return pd.DataFrame(out)
+            last = hashlib.sha256(canonical_bytes(e)).hexdigest()
+            out.append({"log_id": r.log_id, "position": position, "seq": r.seq, **e, "entry_hash": last, "signature": ""})
+        return pd.DataFrame(out, columns=COLUMNS)
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        return chained(pdf, 0, GENESIS)
+
+    def go_on(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        return chained(pdf, int(head["count"].iloc[0]), head["head_hash"].iloc[0]) if len(head) else chained(pdf, 0, GENESIS)
 
-    return redacted.groupBy("log_id").applyInPandas(chain, AUDIT_DDL)
+    def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = keys.value[1]
+        for pdf in parts:
+            yield pdf.assign(signature=[sign(own, canonical_bytes(e)).hex() for e in pdf.to_dict("records")])
+
+    own = redacted.select("log_id", "seq", "transaction_id", "timestamp", "normalized", "redacted", "spans").groupBy("log_id")
+    chain = own.applyInPandas(begin, AUDIT_DDL) if heads is None else own.cogroup(heads.select("log_id", "count", "head_hash").groupBy("log_id")).applyInPandas(go_on, AUDIT_DDL)
+    return spread(chain).mapInPandas(signed, AUDIT_DDL)
 
 
-def verify_links(log: DataFrame) -> DataFrame:
+def verify_links(log: DataFrame, order: str = "position") -> DataFrame:
     """(log_id, entries, intact): whether each entry names the hash of the one before it, and the first the beginning."""
-    w = Window.partitionBy("log_id").orderBy("seq")
+    w = Window.partitionBy("log_id").orderBy(order)
     before = F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))
     return log.withColumn("ok", F.col("previous_entry_hash") == before).groupBy("log_id").agg(F.count("*").alias("entries"), F.bool_and("ok").alias("intact"))
 
@@ -204,9 +228,16 @@ def verify_chain(log: DataFrame, pub: bytes) -> DataFrame:
     return verify_links(log).join(e, "log_id").select("log_id", "entries", (F.col("intact") & F.col("ok")).alias("valid"))
 
 
-def heads(log: DataFrame) -> DataFrame:
+def heads(log: DataFrame, order: str = "position") -> DataFrame:
     """(log_id, count, head_hash)."""
-    return log.groupBy("log_id").agg(F.count("*").alias("count"), F.max_by("entry_hash", "seq").alias("head_hash"))
+    return log.groupBy("log_id").agg(F.count("*").alias("count"), F.max_by("entry_hash", order).alias("head_hash"))
+
+
+def moved_heads(before: DataFrame, appended: DataFrame) -> DataFrame:
+    """Heads after some entries more: (log_id, count, head_hash) of all logs."""
+    new = appended.groupBy("log_id").agg(F.max("position").alias("n"), F.max_by("entry_hash", "position").alias("h"))
+    both = before.join(new, "log_id", "full_outer")
+    return both.select("log_id", F.coalesce("n", "count").alias("count"), F.coalesce("h", "head_hash").alias("head_hash"))
 
 
 def _statement(count: int, head: str) -> bytes:
@@ -226,7 +257,7 @@ def checkpoint(log: DataFrame, seed: bytes) -> DataFrame:
 
 def verify_checkpoint(log: DataFrame, statements: DataFrame, pub: bytes) -> DataFrame:
     """(log_id, valid): the statement is signed and the log still holds that many entries with that head at that count."""
-    n = F.row_number().over(Window.partitionBy("log_id").orderBy("seq"))
+    n = F.row_number().over(Window.partitionBy("log_id").orderBy("position"))
     at = log.select("log_id", "entry_hash", n.alias("n"))
     s = statements.alias("s").join(at.alias("l"), (F.col("s.log_id") == F.col("l.log_id")) & (F.col("s.count") == F.col("l.n")), "left").select("s.*", F.col("l.entry_hash").alias("there"))
 

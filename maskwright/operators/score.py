@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.functions import lexicon as lx
 from maskwright.functions import text as tx
@@ -31,25 +33,40 @@ def match_exact(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, KEY, "full_outer").select(*KEY, outcome.alias("outcome"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _greedy(candidates: pd.Series) -> pd.Series:
+    """Of candidates in order of preference the numbers of those that stand: each takes its gold and its predicted span away."""
+
+    def one(c) -> list[int] | None:
+        if c is None:
+            return None
+        used_g, used_p, out = set(), set(), []
+        for i, x in enumerate(c):
+            g, p = (x["gs"], x["ge"]), (x["ps"], x["pe"])
+            if g not in used_g and p not in used_p:
+                used_g.add(g)
+                used_p.add(p)
+                out.append(i)
+        return out
+
+    return candidates.map(one)
+
+
 def match_iou(gold: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """KEY with outcome, one to one: pairs of one case and type with IoU of at least the threshold, best first (ties by position);
-    a pair stands when it is the best of both its sides, and rounds go on until no pair is left to stand.
+    """KEY with outcome, one to one: pairs of one case and type with IoU of at least the threshold, best first, ties by position;
+    a pair stands if neither of its spans has been taken by a better one.
 
-    The equi key is case and type, overlap is the residual, so that cases are joined in parallel. Two disjoint spans of one case
-    never reach 0.5 with the same span, so at this threshold one round settles nearly all; three are made.
+    The equi key is case and type, overlap is the residual, so that cases are joined in parallel. Only pairs that reach the
+    threshold are brought together, per case and type - spans of one text. Nearly always there is one, which stands; where there
+    are several, the order is gone through once.
     """
     g, p = gold.select(*KEY).dropna().distinct(), pred.select(*KEY).dropna().distinct()
     cand = g.select("case_id", "type", F.col("start").alias("gs"), F.col("end").alias("ge")).join(p.select("case_id", "type", F.col("start").alias("ps"), F.col("end").alias("pe")), ["case_id", "type"])
     cand = cand.withColumn("iou", iou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))).where(F.col("iou") >= threshold)
-    cand = cut(cand)
-    order = [F.col("iou").desc(), F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")]
-    by_g, by_p = Window.partitionBy("case_id", "type", "gs", "ge").orderBy(*order), Window.partitionBy("case_id", "type", "ps", "pe").orderBy(*order)
-    stands = None
-    for _ in range(3):
-        ranked = cand.withColumn("rg", F.row_number().over(by_g)).withColumn("rp", F.row_number().over(by_p))
-        now = ranked.where("rg = 1 AND rp = 1").drop("rg", "rp")
-        stands = now if stands is None else stands.unionByName(now)
-        cand = cand.join(now.select("case_id", "type", "gs", "ge"), ["case_id", "type", "gs", "ge"], "left_anti").join(now.select("case_id", "type", "ps", "pe"), ["case_id", "type", "ps", "pe"], "left_anti")
+    packed = cand.groupBy("case_id", "type").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("d"), "gs", "ge", "ps", "pe"))).alias("c"))
+    several = F.size("c") > 1
+    taken = F.when(several, F.transform(_greedy(F.when(several, F.col("c"))), lambda i: F.get("c", i))).otherwise(F.col("c"))
+    stands = cut(packed.select("case_id", "type", F.explode(taken).alias("x")).select("case_id", "type", "x.gs", "x.ge", "x.ps", "x.pe"))
     hit_g = stands.select("case_id", "type", F.col("gs").alias("start"), F.col("ge").alias("end"))
     hit_p = stands.select("case_id", "type", F.col("ps").alias("start"), F.col("pe").alias("end"))
     out = hit_g.select(*KEY).withColumn("outcome", F.lit("tp"))

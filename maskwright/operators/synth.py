@@ -126,32 +126,79 @@ def corpus(spark: SparkSession, n: int, seed: int = 42, arabizi_rate: float = 0.
     return df.select(F.col("id").alias("record_id"), split.alias("split"), F.when(F.col("marked"), F.concat(text, F.lit(" "), F.col("connector"), F.lit("."))).otherwise(text).alias("text"), ents.alias("entities"))
 
 
-#: Inputs of growing length on which every pattern must stay linear: a unit to repeat, and an end.
-SCALING = {
-    "digit_run": ("7", ""), "phone_prefix_repeat": ("+966", ""), "plus966_digits_no_boundary": ("+9665012345678901", ""), "iban_prefix_repeat": ("SA79", ""), "iban_near_miss": ("SA79 1234 5678 90", "x"),
-    "email_local_part": ("a", "@"), "email_dots": ("a.", "@b"), "tatweel_run": (cm.TATWEEL, ""), "invisible_run": ("​", ""), "id_keyword_then_digits": ("national id 12345 ", ""), "url_repeat": ("https://", ""),
-    "www_repeat": ("www.", ""), "ip_dots": ("1.", ""), "mixed_script_tokens": ("СА7 ", ""),
-}
-
-
-def scaling_inputs(spark: SparkSession, sizes=(2000, 8000, 32000, 128000)) -> DataFrame:
-    rows = [(name, n, unit, end) for name, (unit, end) in SCALING.items() for n in sizes]
-    df = spark.createDataFrame(rows, "name string, n int, unit string, ending string")
-    return df.select("name", "n", F.concat(F.substring(F.repeat("unit", F.ceil(F.col("n") / F.length("unit")).cast("int")), F.lit(1), F.col("n") - F.length("ending")), F.col("ending")).alias("text"))
+# The published inputs of growing length on which matching must stay linear - what comes before, the unit that is
+# repeated, the characters that count as one unit, and what comes after.
+SCALING_INPUTS = {
+    "digit_run": ("", "1", 1, ""),
+    "phone_prefix_repeat": ("", "+966 ", 5, ""),
+    "plus966_digits_no_boundary": ("+966", "5 ", 2, ""),
+    "iban_prefix_repeat": ("", "SA79 ", 5, ""),
+    "iban_near_miss": ("", "SA791234 1234 1234 1234 1234 ", 29, ""),
+    "email_local_part": ("", "a", 1, "@"),
+    "email_dots": ("", "a.", 2, "@b"),
+    "tatweel_run": ("م", cm.TATWEEL, 1, ""),
+    "invisible_run": ("", "1\u200b", 2, ""),
+    "id_keyword_then_digits": ("national id ", "1234567890 ", 11, ""),
+    "url_repeat": ("http://", "a", 1, ""),
+    "www_repeat": ("", "www.", 4, ""),
+    "ip_dots": ("", "1.", 2, ""),
+    "mixed_script_tokens": ("", "СA79", 5, ""),
+}
+SCALING_SIZES = (2000, 8000, 32000, 128000)
+
+
+def scaling_text(name: str, n: int) -> str:
+    before, unit, size, after = SCALING_INPUTS[name]
+    return before + unit * (n // size) + after
+
+
+def scaling_inputs(spark: SparkSession, sizes=SCALING_SIZES) -> DataFrame:
+    """(name, n, text): every input at every size."""
+    rows = [(name, n, *SCALING_INPUTS[name]) for name in SCALING_INPUTS for n in sizes]
+    df = spark.createDataFrame(rows, "name string, n int, before string, unit string, size int, after string")
+    return df.select("name", "n", F.concat("before", F.expr("repeat(unit, n div size)"), "after").alias("text"))
+
+
+# Domains of the scorer's e-mail addresses, and the letters in which a fragment is left as look-alikes.
+SCORER_DOMAINS = ("example.com", "corp-demo.net", "mailhost.org", "bankofdemo.com", "contoso.co")
+_PLAIN, _ALIKE = "0123456789oae", "٠١٢٣٤٥٦٧٨٩оае"
+
+
+def scorer_identifiers(keys: DataFrame, key: str, seed: int = 7) -> DataFrame:
+    """(id_type, identifier, shared): for every key one identifier of each type; shared is a name that the text around shares with it."""
+    draw = at.drawing(seed, F.col(key))
+    domain = pick(SCORER_DOMAINS, draw("domain"))
+    mail = F.concat(F.lit("user"), (F.floor(draw("user") * 900) + 100).cast("string"), F.lit("@"), domain)
+    ids = [
+        ("EMAIL", mail, F.concat(F.initcap(F.substring_index(domain, ".", 1)), F.lit(" company"))), ("PHONE", F.concat(F.lit("+966"), digits_of(draw, "p", 9)), None),
+        ("IBAN", F.concat(F.lit("SA"), digits_of(draw, "i", 22)), None), ("NATIONAL_ID", digits_of(draw, "n", 10), None),
+    ]
+    each = F.array(*[F.struct(F.lit(t).alias("id_type"), v.alias("identifier"), (F.lit("the customer") if s is None else s).alias("shared")) for t, v, s in ids])
+    return keys.select(key, F.explode(each).alias("x")).select(key, "x.*")
 
 
 def scorer_cases(identifiers: DataFrame) -> DataFrame:
-    """identifiers: id_type, identifier. Constructed leak cases: (case_kind, id_type, identifier, context, output, is_leak)."""
-    i = F.col("identifier")
-    half = F.substring(i, F.lit(1), F.greatest(F.lit(6), F.floor(F.length(i) / 2)).cast("int"))
-    ctx = F.lit("Reach the desk about the parcel: ")
-    m = F.concat(F.lit("["), F.col("id_type"), F.lit("]"))
+    """identifiers: id_type, identifier, shared. Eleven kinds of constructed cases (one of them for e-mail addresses only):
+    (case_kind, id_type, identifier, context, output, is_leak). context is the input without the scored occurrence."""
+    i, name = F.col("identifier"), F.col("shared")
+    half = F.greatest(F.lit(8), F.floor(F.length(i) / 2)).cast("int")
+    keep, tail = F.substring(i, F.lit(1), half), F.right(i, half)
+    left, right = F.concat(F.lit("Please contact "), name, F.lit(" at ")), F.concat(F.lit(". Thanks, "), name, F.lit("."))
+    tag, ctx, text = F.concat(F.lit("["), F.col("id_type"), F.lit("]")), F.concat(left, right), F.lit
+    alike = F.when(F.col("id_type") == "EMAIL", F.translate(keep, "ea", "еа")).otherwise(F.translate(keep, _PLAIN, _ALIKE))
     kinds = [
-        ("masked", ctx, F.concat(ctx, m), False), ("untouched", ctx, F.concat(ctx, i), True), ("first_half_left", ctx, F.concat(ctx, half, m), True),
-        ("shared_text", F.concat(ctx, half, F.lit(" is the office. ")), F.concat(ctx, half, F.lit(" is the office. "), m), False),
-        ("repeated_one_left", F.concat(ctx, i, F.lit(" or ")), F.concat(ctx, i, F.lit(" or "), m), True),
-        ("repeated_both_masked", F.concat(ctx, i, F.lit(" or ")), F.concat(ctx, m, F.lit(" or "), m), False),
-        ("spaced_out", ctx, F.concat(ctx, F.regexp_replace(i, "(.)", "$1 ")), True), ("empty_output", ctx, F.lit(""), False),
+        ("fully_redacted_plain", ctx, F.concat(left, tag, right), False),
+        ("fully_redacted_shared", ctx, F.concat(left, tag, right), False),
+        ("repeated_context", F.concat(ctx, text(" Again: "), i, text(".")), F.concat(left, tag, right, text(" Again: "), tag, text(".")), False),
+        ("partial_prefix", ctx, F.concat(left, keep, tag, right), True),
+        ("partial_suffix", ctx, F.concat(left, tag, tail, right), True),
+        ("partial_lookalike", ctx, F.concat(left, alike, tag, right), True),
+        ("second_copy_unredacted", ctx, F.concat(left, tag, right, text(" (cc: "), i, text(")")), True),
+        ("repeat_second_survives", F.concat(text("ID "), i, text("; repeat .")), F.concat(text("ID "), tag, text("; repeat "), i, text(".")), True),
+        ("repeat_first_survives", F.concat(text("ID ; repeat "), i, text(".")), F.concat(text("ID "), i, text("; repeat "), tag, text(".")), True),
+        ("repeat_both_redacted", F.concat(text("ID "), i, text("; repeat .")), F.concat(text("ID "), tag, text("; repeat "), tag, text(".")), False),
+        ("short_fragment", ctx, F.concat(left, tag, F.right(i, F.lit(4)), right), False),
     ]
     parts = F.array(*[F.struct(F.lit(k).alias("case_kind"), c.alias("context"), o.alias("output"), F.lit(leak).alias("is_leak")) for k, c, o, leak in kinds])
-    return identifiers.select("id_type", "identifier", F.explode(parts).alias("p")).select("p.case_kind", "id_type", "identifier", "p.context", "p.output", "p.is_leak")
+    out = identifiers.select("id_type", "identifier", F.explode(parts).alias("p")).where("p.case_kind <> 'fully_redacted_shared' OR id_type = 'EMAIL'")
+    return out.select("p.case_kind", "id_type", "identifier", "p.context", "p.output", "p.is_leak")

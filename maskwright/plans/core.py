@@ -310,32 +310,62 @@ def stratified_recall(spark, d):
 
 
 def _leak_cases(spark, d) -> DataFrame:
+    """Cases of the scorer validation for identifiers of four types, built from keys."""
     k = F.col("c_custkey")
-    ident = F.concat(F.lit("user"), F.lpad((k * 7919 % 1000003).cast("string"), 7, "0"), F.lit("@mail"), k.cast("string"), F.lit(".test"))
-    ids = spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", F.lit("EMAIL").alias("id_type"), ident.alias("identifier"))
-    return synth.scorer_cases(ids)
-
-
-_LEAK_IDS = "i AS (SELECT c_custkey, concat('user', lpad(CAST(c_custkey * 7919 % 1000003 AS VARCHAR), 7, '0'), '@mail', c_custkey, '.test') AS identifier FROM customer)"
-_KINDS = {"masked": False, "untouched": True, "first_half_left": True, "shared_text": False, "repeated_one_left": True, "repeated_both_masked": False, "spaced_out": True, "empty_output": False}
-
-
-@query(f"WITH {_LEAK_IDS} SELECT k AS case_kind, count(*) AS n, count(*) AS correct FROM i, (VALUES {', '.join(repr((k,))[:-2] + ')' for k in _KINDS)}) AS v(k) GROUP BY 1")
+    number = lambda factor, n, fill: F.lpad((k * factor % (10**n if n < 18 else 10**9)).cast("string"), n, fill)
+    ids = [
+        ("EMAIL", F.concat(F.lit("user"), number(7919, 7, "0"), F.lit("@mail"), k.cast("string"), F.lit(".test")), F.concat(F.lit("Mail"), k.cast("string"), F.lit(" company"))),
+        ("PHONE", F.concat(F.lit("+966"), number(104729, 9, "0")), F.lit("the customer")), ("IBAN", F.concat(F.lit("SA"), number(7919, 22, "73")), F.lit("the customer")), ("NATIONAL_ID", number(15485863, 10, "1"), F.lit("the customer")),
+    ]
+    each = F.array(*[F.struct(F.lit(t).alias("id_type"), v.alias("identifier"), s.alias("shared")) for t, v, s in ids])
+    keys = spread(table(spark, d, "customer").select("c_custkey"))
+    return synth.scorer_cases(keys.select(F.explode(each).alias("x")).select("x.*"))
+
+
+def _canon_sql(c: str) -> str:
+    return f"regexp_replace(lower(translate({c}, '{cm.ARABIC_INDIC}оае', '{cm.WESTERN}oae')), '[^a-z0-9]', '', 'g')"
+
+
+_COPIES = "len(list_filter(range(1, length({0}) - 4), lambda j: {0}[j:j+5] = f))"
+_SCORED = f"""WITH i AS (
+ SELECT 'EMAIL' AS t, concat('user', lpad(CAST(c_custkey * 7919 % 10000000 AS VARCHAR), 7, '0'), '@mail', c_custkey, '.test') AS v, concat('Mail', c_custkey, ' company') AS s FROM customer
+ UNION ALL SELECT 'PHONE', concat('+966', lpad(CAST(c_custkey * 104729 % 1000000000 AS VARCHAR), 9, '0')), 'the customer' FROM customer
+ UNION ALL SELECT 'IBAN', concat('SA', lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR), 22, '73')), 'the customer' FROM customer
+ UNION ALL SELECT 'NATIONAL_ID', lpad(CAST(c_custkey * 15485863 % 10000000000 AS VARCHAR), 10, '1'), 'the customer' FROM customer),
+p AS (SELECT t, v, concat('Please contact ', s, ' at ') AS l, concat('. Thanks, ', s, '.') AS r, concat('[', t, ']') AS g, greatest(8, length(v) // 2) AS h FROM i),
+q AS (SELECT *, concat(l, r) AS x, v[1:h] AS keep, right(v, CAST(h AS BIGINT)) AS tail FROM p),
+c AS (SELECT t, v, kind, leak,
+  CASE kind WHEN 'repeated_context' THEN concat(x, ' Again: ', v, '.') WHEN 'repeat_first_survives' THEN concat('ID ; repeat ', v, '.') WHEN 'repeat_second_survives' THEN concat('ID ', v, '; repeat .') WHEN 'repeat_both_redacted' THEN concat('ID ', v, '; repeat .') ELSE x END AS ctx,
+  CASE kind WHEN 'repeated_context' THEN concat(l, g, r, ' Again: ', g, '.') WHEN 'partial_prefix' THEN concat(l, keep, g, r) WHEN 'partial_suffix' THEN concat(l, g, tail, r)
+    WHEN 'partial_lookalike' THEN concat(l, CASE t WHEN 'EMAIL' THEN translate(keep, 'ea', 'еа') ELSE translate(keep, '0123456789oae', '{cm.ARABIC_INDIC}оае') END, g, r)
+    WHEN 'second_copy_unredacted' THEN concat(l, g, r, ' (cc: ', v, ')') WHEN 'repeat_second_survives' THEN concat('ID ', g, '; repeat ', v, '.') WHEN 'repeat_first_survives' THEN concat('ID ', v, '; repeat ', g, '.')
+    WHEN 'repeat_both_redacted' THEN concat('ID ', g, '; repeat ', g, '.') WHEN 'short_fragment' THEN concat(l, g, right(v, 4), r) ELSE concat(l, g, r) END AS o
+  FROM q, (VALUES ('fully_redacted_plain', FALSE), ('fully_redacted_shared', FALSE), ('repeated_context', FALSE), ('partial_prefix', TRUE), ('partial_suffix', TRUE), ('partial_lookalike', TRUE), ('second_copy_unredacted', TRUE),
+    ('repeat_second_survives', TRUE), ('repeat_first_survives', TRUE), ('repeat_both_redacted', FALSE), ('short_fragment', FALSE)) AS k(kind, leak) WHERE kind <> 'fully_redacted_shared' OR t = 'EMAIL'),
+n AS (SELECT kind, leak, {_canon_sql('v')} AS i, {_canon_sql('o')} AS o, {_canon_sql('ctx')} AS c FROM c),
+f AS (SELECT kind, leak, o, c, replace(c, i, '') AS b, list_filter(list_distinct(list_transform(range(1, length(i) - 4), lambda j: i[j:j+5])), lambda f: contains(o, f)) AS there FROM n),
+s AS (SELECT kind, leak, len(there) > 0 AS v1, len(list_filter(there, lambda f: {_COPIES.format('o')} > {_COPIES.format('c')})) > 0 AS v2a, len(list_filter(there, lambda f: {_COPIES.format('o')} > {_COPIES.format('b')})) > 0 AS v2 FROM f)"""
+
+
+@query(f"{_SCORED} SELECT kind AS case_kind, count(*) AS n, CAST(sum(CAST(v2 = leak AS INT)) AS BIGINT) AS correct FROM s GROUP BY 1")
 def leak_scorer_v2(spark, d):
-    """The final scorer on constructed cases: every verdict is right."""
+    """The final scorer on constructed cases."""
     c = _leak_cases(spark, d).withColumn("leak", leaks.leaks(F.col("identifier"), F.col("output"), F.col("context")))
     return c.groupBy("case_kind").agg(F.count("*").alias("n"), F.sum((F.col("leak") == F.col("is_leak")).cast("long")).alias("correct"))
 
 
-@query(f"""WITH {_LEAK_IDS}, c AS (SELECT regexp_replace(lower(identifier), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(concat('Reach the desk about the parcel: ', identifier[1:greatest(6, length(identifier) // 2)], ' is the office. [EMAIL]')), '[^a-z0-9]', '', 'g') AS o FROM i)
-SELECT count(*) AS n, CAST(sum(CAST(len(list_filter(range(1, length(a) - 4), lambda j: contains(o, a[j:j+5]))) > 0 AS INT)) AS BIGINT) AS flagged FROM c""")
+@query(f"{_SCORED} SELECT kind AS case_kind, count(*) AS n, CAST(sum(CAST(v1 AS INT)) AS BIGINT) AS flagged FROM s GROUP BY 1")
 def leak_scorer_v1(spark, d):
-    """The first scorer over-counts: it flags the masked identifier of which the text around shares a part."""
-    c = _leak_cases(spark, d).where("case_kind = 'shared_text'").withColumn("leak", leaks.leaks_v1(F.col("identifier"), F.col("output")))
-    return c.agg(F.count("*").alias("n"), F.sum(F.col("leak").cast("long")).alias("flagged"))
+    """The first scorer over-counts: it flags masked identifiers of which the text around shares a part."""
+    c = _leak_cases(spark, d).withColumn("leak", leaks.leaks_v1(F.col("identifier"), F.col("output")))
+    return c.groupBy("case_kind").agg(F.count("*").alias("n"), F.sum(F.col("leak").cast("long")).alias("flagged"))
 
 
-@query()
+_VERDICTS = " UNION ALL ".join(f"SELECT kind, '{v}' AS scorer, {v} AS leak, leak AS truth FROM s" for v in ("v1", "v2a", "v2"))
+
+
+@query(f"""{_SCORED} SELECT kind AS case_kind, scorer, count(*) AS n, CAST(sum(CAST(leak = truth AS INT)) AS BIGINT) AS correct, CAST(sum(CAST(leak AND NOT truth AS INT)) AS BIGINT) AS false_positives,
+CAST(sum(CAST(NOT leak AND truth AS INT)) AS BIGINT) AS false_negatives FROM ({_VERDICTS}) GROUP BY 1, 2""")
 def leak_scorer_validation(spark, d):
     """Accuracy, false positives and negatives of the three scorers per kind of case."""
     i, o, c = F.col("identifier"), F.col("output"), F.col("context")
@@ -602,17 +632,21 @@ def chain_links(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 16).cast("string").alias("log_id"), F.col("o_orderkey").alias("seq"), F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")), 256).alias("entry_hash"))
     prev = F.coalesce(F.lag("entry_hash").over(Window.partitionBy("log_id").orderBy("seq")), F.lit(audit.GENESIS))
     log = o.withColumn("previous_entry_hash", F.when(F.col("seq") % 997 == 5, "x").otherwise(prev))
-    return audit.verify_links(log).join(audit.heads(log).select("log_id", "head_hash"), "log_id")
+    return audit.verify_links(log, "seq").join(audit.heads(log, "seq").select("log_id", "head_hash"), "log_id")
 
 
-@query()
+@query("""SELECT concat(coalesce(source, 'none'), '-', CAST(concat('0x', substr(md5(record_id), 1, 6)) AS BIGINT) % 64) AS log_id, count(*) AS entries, TRUE AS valid,
+CAST(sum(CAST(coalesce(text, '') = '' AS INT)) AS BIGINT) AS without_text FROM (SELECT DISTINCT record_id, text, source, loaded_at FROM generated_record) GROUP BY 1""")
 def audit_log(spark, d):
-    """Redaction of messages, chained and signed per source and tenth, then verified."""
-    r = table(spark, d, "generated_record").select("record_id", "text", "source", "loaded_at").dropDuplicates(["record_id", "loaded_at"])
-    out = redact(r).withColumn("log_id", F.concat_ws("-", F.coalesce("source", F.lit("none")), F.pmod(F.crc32("record_id"), F.lit(64)).cast("string")))
-    out = out.select("log_id", F.crc32("record_id").alias("seq"), F.col("record_id").alias("transaction_id"), F.unix_timestamp("loaded_at").cast("double").alias("timestamp"), "normalized", "redacted", "spans")
-    log = cut(audit.append(out, hash_key=b"demonstration key", seed=b"\x01" * 32))
-    return audit.verify_links(log).join(audit.heads(log).select("log_id", "head_hash"), "log_id")
+    """Redaction of messages, chained and signed per source and 64th part, then verified: links, hashes and signatures."""
+    r = table(spark, d, "generated_record").select("record_id", "text", "source", "loaded_at").distinct()
+    part = F.conv(F.substring(F.md5(F.col("record_id").cast("binary")), 1, 6), 16, 10).cast("long") % 64
+    out = redact(spread(r)).withColumn("log_id", F.concat_ws("-", F.coalesce("source", F.lit("none")), part.cast("string")))
+    out = out.select("log_id", F.unix_micros("loaded_at").alias("seq"), F.col("record_id").alias("transaction_id"), F.unix_timestamp("loaded_at").cast("double").alias("timestamp"), "normalized", "redacted", "spans")
+    seed = b"\x01" * 32
+    log = cut(audit.append(out, hash_key=b"demonstration key", seed=seed))
+    empty = audit.keyed_digest(b"demonstration key", "")
+    return audit.verify_chain(log, audit.public_key(seed)).join(log.groupBy("log_id").agg(F.sum((F.col("input_hash") == empty).cast("long")).alias("without_text")), "log_id")
 
 
 @query("""SELECT status, task_id FROM (SELECT status, task_id, row_number() OVER (PARTITION BY status ORDER BY md5(CAST(task_id AS VARCHAR))) AS n FROM annotation_task) WHERE n <= 30""")

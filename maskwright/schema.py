@@ -21,7 +21,7 @@ ANNOTATION_DDL = "sentence_id string, start int, end int, label string, note str
 ITEMS_DDL = "sentence_id string, text string, type string, language string, script string"
 LOSS_DDL = "model_id string, example_id string, membership string, loss double"
 AUDIT_DDL = (
-    "log_id string, seq long, transaction_id string, timestamp double, input_hash string, output_hash string, "
+    "log_id string, position long, seq long, transaction_id string, timestamp double, input_hash string, output_hash string, "
     "entity_labels array<struct<entity_type:string,start:int,end:int>>, model_version_hash string, client_cert_fingerprint string, "
     "previous_entry_hash string, entry_hash string, signature string"
 )

@@ -24,6 +24,39 @@ def test_match_and_prf(spark):
     assert tuple(zero[0]) == (0.0, 0.0, 0.0) and tuple(none[0]) == (None, None, None) and none[2].f1 == 0.0 and zero[1].f1 == 1.0
 
 
+def test_match_iou_takes_the_best_first(spark):
+    """A chain of spans in which each overlaps the next is settled to its end."""
+    g = [("c", 10 * i, 10 * i + 20, "T") for i in range(9)]
+    p = [("c", 10 * i + 5, 10 * i + 25 - (i % 3), "T") for i in range(9)]
+    cols = "case_id string, start int, end int, type string"
+    got = {(r.start, r.end, r.outcome) for r in score.match_iou(spark.createDataFrame(g + g[:2], cols), spark.createDataFrame(p, cols)).collect()}
+
+    def iou(a, b):
+        i = max(0, min(a[2], b[2]) - max(a[1], b[1]))
+        return i / (a[2] - a[1] + b[2] - b[1] - i)
+
+    used, hit = set(), set()
+    for _, a, b in sorted((-iou(a, b), a, b) for a in g for b in p if iou(a, b) >= 0.5):
+        if ("g", a) not in used and ("p", b) not in used:
+            used |= {("g", a), ("p", b)}
+            hit.add(a)
+    want = {(a[1], a[2], "tp" if a in hit else "fn") for a in g} | {(b[1], b[2], "fp") for b in p if ("p", b) not in used}
+    assert got == want and len(hit) > 4
+
+
+def test_running_sums_in_ranges(spark):
+    rows = [(i, (i * 7919) % 101, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, s int, v int")
+    from maskwright.functions.session import running_sums
+
+    got = {r.k: (r.n, r.t) for r in running_sums(df, [F.col("s").desc(), F.col("k")], {"n": F.lit(1), "t": F.col("v")}).collect()}
+    n = t = 0
+    for k, _, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        n, t = n + 1, t + v
+        assert got[k] == (n, t)
+    assert running_sums(df.where("false"), [F.col("s")], {"n": F.lit(1)}).count() == 0
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([(8, 10), (0, 10), (0, 0)], "k int, n int")
     lo, hi = score.wilson(F.col("k"), F.col("n"))
@@ -151,5 +184,5 @@ def test_generators(spark):
     ok = c.select(F.explode("entities").alias("e"), "text").where("e.entity_type = 'IBAN'").select(synth.iban_is_valid(F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))).alias("v"))
     assert all(x.v for x in ok.collect())
     assert spark.range(1).select(synth.iban_is_valid(F.lit("SA03 8000 0000 6080 1016 7519")).alias("v")).first().v
-    s = synth.scaling_inputs(spark, (2000,)).collect()
-    assert len(s) == 14 and all(len(x.text) == 2000 for x in s)
+    s = synth.scaling_inputs(spark, (2000, 8000)).collect()
+    assert len(s) == 28 and all(x.text == synth.scaling_text(x.name, x.n) for x in s) and all(0.7 < len(x.text) / x.n < 1.1 for x in s)
