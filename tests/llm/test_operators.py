@@ -104,6 +104,28 @@ def test_p2_long_texts_lose_nothing(spark):
     assert got == want and {("t200.8", "e200.8"), ("t200.12", "e200.12"), ("t60.5", "e60.5")} <= got
 
 
+def test_p2_long_records_against_brute_force(spark):
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8))) for _ in range(n)]
+    rows, many = [], 0
+    for i in range(60):
+        w = say(rng.choice((15, 60, 300)))
+        rows.append((f"t{i}", "train", "s", " ".join(w)))
+        for j in rng.sample(range(len(w)), max(1, int(len(w) * rng.choice((0.02, 0.07, 0.15, 0.3))))):
+            w[j] = say(1)[0]
+        rows.append((f"e{i}", "dev", "s", " ".join(w)))
+    got = {(r.train, r.evaluation) for r in p2.overlaps(spark.createDataFrame(rows, "record_id string, split string, source string, text string")).collect()}
+    sets = {r[0]: set(p2.shingles(p2.reduce_text(r[3])[0]).tolist()) for r in rows}
+    want = set()
+    for a in sets:
+        for b in sets:
+            o = len(sets[a] & sets[b])
+            if a[0] == "t" and b[0] == "e" and o / len(sets[a] | sets[b]) >= p2.SIMILARITY:
+                want.add((a, b))
+                many += max(len(sets[a]), len(sets[b])) - o > 30
+    assert got == want and many > 10
+
+
 def test_p2_any_number_of_matches_gives_the_same(spark):
     rng = random.Random(11)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
