@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -10,7 +11,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from maskwright.functions.session import ship
     from maskwright.operators.normalize import STEPS
-    from maskwright.operators.redact import redact
+    from maskwright.operators.redact import Pipeline
     from maskwright.operators.synth import corpus
     from maskwright.sources import io
 
@@ -19,6 +20,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--input")
     p.add_argument("--output")
     p.add_argument("--steps", default=",".join(STEPS))
+    p.add_argument("--checkpoint", help="a model's folder; --loader turns it into a column function of neural spans")
+    p.add_argument("--loader", help="module:function that loads a checkpoint")
+    p.add_argument("--no-neural", action="store_true", help="rules only, whatever checkpoint is given")
     p.add_argument("--out")
     p.add_argument("--n-sentences", type=int, default=1000)
     p.add_argument("--seed", type=int, default=42)
@@ -33,7 +37,14 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not a.input:
         p.error("redact needs --input")
-    out = redact(io.read_lines(spark, a.input), steps=[s for s in a.steps.split(",") if s])
+    steps = tuple(s for s in a.steps.split(",") if s)
+    pipeline = Pipeline(steps)
+    if a.checkpoint and not a.no_neural:
+        if not a.loader:
+            p.error("--checkpoint needs --loader")
+        module, _, name = a.loader.partition(":")
+        pipeline = Pipeline.from_checkpoint(a.checkpoint, getattr(importlib.import_module(module), name), steps=steps)
+    out = pipeline.redact(io.read_lines(spark, a.input))
     if a.output:
         io.write_lines(out, a.output)
     else:

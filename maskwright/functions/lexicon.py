@@ -24,3 +24,11 @@ NAME_PARTS = KUNYA + NISBAH + LAQAB
 
 # Arabic letters and their spelling in chat Latin.
 ARABIZI = {"ء": "2", "ع": "3", "ح": "7", "خ": "5", "ص": "9", "ض": "9'", "ط": "6", "ظ": "6'", "ق": "8", "غ": "3'", "ث": "th", "ذ": "th", "ش": "sh", "ة": "a"}
+
+# Mobile prefixes and lengths of national numbers, and bank letters of made-up account numbers.
+MOBILE_PREFIXES = {
+    "SA": ("50", "53", "55", "56", "59"), "AE": ("50", "52", "54", "55", "56"), "EG": ("10", "11", "12", "15"), "BH": ("36", "37", "38", "39"),
+    "IQ": ("770", "771", "750", "780"), "JO": ("79", "78", "77"), "KW": ("50", "51", "55", "60", "65"),
+}
+NATIONAL_LENGTH = {"SA": 9, "AE": 9, "EG": 10, "BH": 8, "IQ": 10, "JO": 9, "KW": 8}
+BANKS = ("BMAG", "RAFB", "NBOK", "CBJO", "ARAB", "NBOB", "BBME", "CIBE")

@@ -172,14 +172,42 @@ class Scanner:
         return pa.StructArray.from_arrays([pa.array(normal, pa.string()), report, spans, pa.array(masked, pa.string())], ["normalized", "report", "spans", "redacted"])
 
 
+class Archived(Scanner):
+    """The first release's rules, for comparison: phone numbers with a literal plus only and without dots or brackets, account
+    numbers in capitals and in one piece, an identity word only before a number, addresses that never overlap."""
+
+    STEPS = frozenset(("nfkc", "bidi", "digits", "tatweel"))
+    # Identity words that came later.
+    LATER = ("اقامة", "إقامة")
+
+    def __init__(self, before: str = "[", after: str = "]"):
+        super().__init__(self.STEPS, before, after)
+        compiled = lambda p: re.compile(p, re.ASCII)
+        codes = "|".join(sorted(lx.CALLING_CODES, key=len, reverse=True))
+        self.mail = compiled(r"\b[A-Za-z0-9_][A-Za-z0-9._%+\-]*@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")
+        self.phone = compiled(rf"(?<![0-9])\+(?:{codes})[\s\-]?[0-9](?:[\s\-]?[0-9]){{6,9}}\b")
+        bodies = [rf"{k}[0-9]{{{n}}}" for k, n in lx.IBAN_DIGITS.items()] + [rf"{k}[0-9]{{2}}[A-Z]{{4}}[A-Z0-9]{{{n}}}" for k, n in lx.IBAN_AFTER_BANK.items()]
+        self.iban = compiled(rf"\b(?:{'|'.join(bodies)})\b")
+        self.words = [w for w in lx.ID_KEYWORDS if w not in self.LATER]
+
+    def detect(self, t: str) -> list[tuple[int, int, int]]:
+        out = [(*m.span(), 0) for m in self.mail.finditer(t)] if "@" in t else []
+        out += [(*m.span(), k) for k, rx in ((1, self.url), (2, self.ip), (3, self.phone), (4, self.iban)) for m in rx.finditer(t)]
+        for m in self.nid.finditer(t):
+            before = t[max(0, m.start() - lx.ID_BEFORE) : m.start()].lower()
+            if any(w in before for w in self.words):
+                out.append((*m.span(), 5))
+        return sorted(out, key=lambda s: (s[0], s[2]))
+
+
 @lru_cache(64)
-def _scanner(steps: frozenset[str], before: str, after: str) -> Scanner:
-    return Scanner(steps, before, after)
+def _scanner(steps: frozenset[str] | None, before: str, after: str) -> Scanner:
+    return Archived(before, after) if steps is None else Scanner(steps, before, after)
 
 
 def scanned(c: Column, steps, mask_format: tuple[str, str] = ("[", "]")) -> Column:
-    """A struct of normalized, report, spans and redacted for a text column."""
-    chosen = frozenset(steps)
+    """A struct of normalized, report, spans and redacted for a text column. steps None: by the archived rules."""
+    chosen = None if steps is None else frozenset(steps)
 
     @F.arrow_udf(f"struct<normalized:string,report:{REPORT_DDL},spans:{SPANS_DDL},redacted:string>")
     def scan(texts: pa.Array) -> pa.Array:

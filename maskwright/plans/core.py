@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import charmap as cm
+from maskwright.functions import lexicon as lx
 from maskwright.functions import text as tx
 from maskwright.functions.session import cut, spread, table
 from maskwright.operators import annotate, attacks, audit, detect, fuse, leaks, score, stats, synth
-from maskwright.operators.normalize import any_adversarial_signal, normalize
+from maskwright.operators.normalize import STEPS, any_adversarial_signal, normalize
 from maskwright.operators.redact import redact, run_systems
 
 QUERIES: dict = {}
@@ -59,12 +60,25 @@ def ip_spans(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", detect.ip_addresses(F.col("text")))
 
 
-@query(_offsets_sql(_URL_RE2, "documents", "doc_id"))
+@query("""SELECT c_custkey, CAST(length(concat('page ', c_custkey, ' is ')) AS INTEGER) AS start, CAST(length(concat('page ', c_custkey, ' is ', CASE c_custkey % 3 WHEN 0 THEN concat('https://site', c_custkey, '.example/a?b=', c_custkey, '&c=[x]') WHEN 1 THEN concat('http://h', c_custkey) ELSE concat('www.w', c_custkey, '.test/ملف') END, CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '' END)) AS INTEGER) AS "end" FROM customer
+UNION ALL SELECT c_custkey, CAST(length(concat('page ', c_custkey, ' is ', 'www.w', c_custkey, '.test/ملف', CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '' END, ' <')) AS INTEGER), CAST(length(concat('page ', c_custkey, ' is ', 'www.w', c_custkey, '.test/ملف', CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '' END, ' <', 'www.again')) AS INTEGER) FROM customer WHERE c_custkey % 3 = 2""")
 def url_spans(spark, d):
-    return _spans(table(spark, d, "documents"), "doc_id", detect.urls(F.col("text")))
+    """Addresses of pages in sentences built from keys: with paths, queries and letters of other scripts, closing dots kept, ended by a space or an angle bracket."""
+    k = F.col("c_custkey").cast("string")
+    url = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://site"), k, F.lit(".example/a?b="), k, F.lit("&c=[x]"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("http://h"), k)).otherwise(F.concat(F.lit("www.w"), k, F.lit(".test/ملف")))
+    end = F.when(F.col("c_custkey") % 2 == 0, ".").otherwise("")
+    after = F.when(F.col("c_custkey") % 3 == 2, " <www.again>, xwww.no").otherwise(" or http:/no")
+    return _spans(_built(spark, d, [F.lit("page "), k, F.lit(" is "), url, end, after]), "c_custkey", detect.urls(F.col("text")))
 
 
-@query()
+_EMAILS_SQL = r"""
+WITH p AS (SELECT doc_id, string_split(text, '@') AS p FROM documents WHERE contains(text, '@')),
+i AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM p),
+x AS (SELECT doc_id, i, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT) AS n, regexp_replace(regexp_extract(right(p[i], 64), '[A-Za-z0-9._%+\-]*$'), '^[^A-Za-z0-9_]+', '') AS l, regexp_extract(left(p[i + 1], 255), '^[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b') AS r FROM i)
+SELECT doc_id, CAST(n + i - 1 - length(l) AS INTEGER) AS start, CAST(n + i + length(r) AS INTEGER) AS "end" FROM x WHERE length(l) > 0 AND length(r) > 0"""
+
+
+@query(_EMAILS_SQL.replace("\\\\", "\\"))
 def email_spans(spark, d):
     return _spans(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", detect.emails(F.col("text")))
 
@@ -144,12 +158,19 @@ def nid_context(spark, d):
     return _spans(_built(spark, d, [t]), "c_custkey", detect.national_ids(F.col("text")))
 
 
-@query("""
-SELECT c_custkey, concat('see [', CASE WHEN c_custkey % 2 = 0 THEN 'URL' ELSE 'EMAIL' END, ']') AS redacted FROM customer""")
+_SHAPES = (
+    ("see https://x.example/?to=c{}@mail.test", "see [URL]"), ("see c{}@mail.test", "see [EMAIL]"), ("a@b.co@c.org {}", "a@[EMAIL] {}"), ("at www.s.test/10.0.0.1 no {}", "at [URL] no {}"),
+    ("x{}@mail.test,+966501234567", "[EMAIL],[PHONE]"), ("id: 1234567890 and {}", "id: [NATIONAL_ID] and {}"), ("+966501234567@mail.test {}", "[PHONE]@mail.test {}"), ("1.2.3.4.5 and {}", "[IP_ADDRESS].5 and {}"),
+)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN replace('{out}', '{{}}', CAST(c_custkey AS VARCHAR))" for i, (_, out) in enumerate(_SHAPES)) + " END AS redacted FROM customer")
 def overlap_resolution(spark, d):
-    """A URL that holds an e-mail address keeps the earlier rule's span; an address alone is masked as such."""
-    k = F.col("c_custkey")
-    t = F.when(k % 2 == 0, F.concat(F.lit("see https://x.example/?to=c"), k.cast("string"), F.lit("@mail.test"))).otherwise(F.concat(F.lit("see c"), k.cast("string"), F.lit("@mail.test")))
+    """Rules that meet: the earlier one stays, of one type the longer; what only touches stays apart."""
+    k, t = F.col("c_custkey"), None
+    for i, (shape, _) in enumerate(_SHAPES):
+        one = F.replace(F.lit(shape), F.lit("{}"), k.cast("string"))
+        t = F.when(k % 8 == i, one) if t is None else t.when(k % 8 == i, one)
     df = table(spark, d, "customer").select("c_custkey", t.alias("t")).withColumn("s", detect.detect(F.col("t")))
     return df.select("c_custkey", fuse.mask(F.col("t"), fuse.fuse(F.col("t"), tx.no_spans(), F.col("s"))).alias("redacted"))
 
@@ -196,6 +217,24 @@ def normalize_report(spark, d):
     return r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step"), v.cast("long").alias("hit")) for k, v in steps.items()])).alias("x")).groupBy("x.step").agg(F.sum("x.hit").alias("items"))
 
 
+_NO_NFKC = ("bidi", "invisible", "digits", "tatweel", "confusables")
+
+
+@query(rf"""
+WITH a AS (SELECT text, regexp_replace(text, '[\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}]', '', 'g') AS b FROM items WHERE text IS NOT NULL),
+c AS (SELECT *, regexp_replace(b, '[\p{{Cf}}\x{{34F}}\x{{115F}}\x{{1160}}\x{{3164}}\x{{FFA0}}\x{{180B}}-\x{{180E}}\x{{FE00}}-\x{{FE0F}}]', '', 'g') AS c FROM a), e AS (SELECT *, translate(c, '{_DIGITS}', '{cm.WESTERN * 2}') AS d FROM c),
+g AS (SELECT *, regexp_replace(d, '{cm.TATWEEL}{{2,}}', '{cm.TATWEEL}', 'g') AS t FROM e),
+h AS (SELECT *, list_transform(string_split_regex(t, '{_SP}'), lambda x: CASE WHEN regexp_matches(x, '[A-Za-z0-9]') THEN translate(x, '{cm.CONFUSABLE_FROM}', '{cm.CONFUSABLE_TO}') ELSE x END) <> string_split_regex(t, '{_SP}') AS f FROM g),
+r AS (SELECT length(text) - length(b) AS bidi, length(b) - length(c) AS invisible, len(regexp_extract_all(c, '[{_DIGITS}]')) AS digits, len(regexp_extract_all(d, '{cm.TATWEEL}{{2,}}')) AS tatweel, CAST(f AS INT) AS confusables FROM h)
+SELECT step, count(*) FILTER (n > 0) AS items, CAST(CASE WHEN step = 'confusables' THEN 0 ELSE sum(n) END AS BIGINT) AS characters FROM (UNPIVOT r ON bidi, invisible, digits, tatweel, confusables INTO NAME step VALUE n) GROUP BY 1""")
+def normalize_report_plain(spark, d):
+    """How many items and how many characters each step touched, without compatibility forms, which SQL lacks."""
+    r = normalize(spread(table(spark, d, "items").select("text")), steps=_NO_NFKC).where("report IS NOT NULL")
+    names = {"bidi": "bidi_controls_stripped", "invisible": "invisible_stripped", "digits": "digits_folded", "tatweel": "tatweel_runs_capped", "confusables": "confusables_folded"}
+    x = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"report.{v}").cast("long").alias("n")) for k, v in names.items()]))
+    return r.select(x.alias("x")).groupBy("x.step").agg(F.sum((F.col("x.n") > 0).cast("long")).alias("items"), F.sum(F.when(F.col("x.step") != "confusables", F.col("x.n")).otherwise(0)).alias("characters"))
+
+
 @query(r"""
 SELECT s AS digit_script, l AS context_language, count(*) AS n FROM (SELECT
  CASE WHEN k = 0 THEN 'none' WHEN k > 1 THEN 'mixed' WHEN regexp_matches(text, '[0-9]') THEN 'western' WHEN regexp_matches(text, '[\x{660}-\x{669}]') THEN 'arabic_indic'
@@ -250,8 +289,15 @@ def wilson_interval(spark, d):
     return c.select("type", _r(lo).alias("lower"), _r(hi).alias("upper"))
 
 
-@query()
+_IOU_PAIRS = f"""{_GOLD_PRED}, pr AS (SELECT case_id, type, g.start AS gs, g."end" AS ge, p.start AS ps, p."end" AS pe, greatest(0, least(p."end", g."end") - greatest(p.start, g.start)) AS i, (p."end" - p.start) + (g."end" - g.start) AS n FROM g JOIN p USING (case_id, type)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, type, gs, ge ORDER BY i / (n - i) DESC, gs, ge, ps, pe) AS rg, row_number() OVER (PARTITION BY case_id, type, ps, pe ORDER BY i / (n - i) DESC, gs, ge, ps, pe) AS rp FROM pr WHERE i * 3 >= n),
+c AS (SELECT coalesce(type, 'ALL') AS type, sum(t) AS tp, sum(p) - sum(t) AS fp, sum(g) - sum(t) AS fn FROM (SELECT type, 1 AS t, 0 AS g, 0 AS p FROM rk WHERE rg = 1 AND rp = 1 UNION ALL SELECT type, 0, 1, 0 FROM g UNION ALL SELECT type, 0, 0, 1 FROM p) GROUP BY GROUPING SETS ((type), ()))"""
+
+
+@query(f"""WITH {_IOU_PAIRS} SELECT type, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall,
+round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) WHEN tp + fp + fn > 0 THEN 0 END, 9) AS f1 FROM c""")
 def prf_iou(spark, d):
+    """By IoU of one half, one to one. (In SQL one round of best pairs is enough for these spans.)"""
     c = score.counts_with_total(score.match_iou(*_gold_pred(spark, d)))
     p, r, f = score.prf(F.col("tp"), F.col("fp"), F.col("fn"), undefined=None)
     return c.select("type", "tp", "fp", "fn", _r(p).alias("precision"), _r(r).alias("recall"), _r(f).alias("f1"))
@@ -295,7 +341,7 @@ def common_subset(spark, d):
 @query()
 def stratified_recall(spark, d):
     """Recall of the rules on reviewed items by type, country, digit script, language and format, for two ablations."""
-    items = table(spark, d, "items").select("sentence_id", "text").dropna().dropDuplicates(["sentence_id"])
+    items = _latest(table(spark, d, "items"))
     gold = table(spark, d, "gold").select("sentence_id", "start", "end", _label().alias("type")).where(F.col("type").isin("PHONE", "IBAN", "EMAIL", "NATIONAL_ID")).distinct()
     g = gold.join(items, "sentence_id").withColumn("st", score.stratum(F.col("text"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")), F.col("type")))
     out = run_systems(items.join(gold, "sentence_id", "left_semi"), ("full", "no_stage1")).select("system", "sentence_id", F.explode("pred").alias("p")).select("system", "sentence_id", F.col("p.start").alias("ps"), F.col("p.end").alias("pe"), F.col("p.entity_type").alias("type"))
@@ -384,47 +430,58 @@ def trigram_similarity(spark, d):
 
 # ---------------------------------------------------------------- attacks
 
-_CASES_KEY = "sentence_id"
+
+def _latest(items: DataFrame, key: str = "sentence_id") -> DataFrame:
+    """(key, text): of a key sent with several texts the one that was loaded last."""
+    return items.where("text IS NOT NULL").groupBy(key).agg(F.max_by("text", F.struct("loaded_at", "text")).alias("text")).where(F.col(key).isNotNull())
 
 
 def _attack_cases(spark, d) -> DataFrame:
     """Reviewed sentences with the identifiers that rules can find, as spans; overlapping ones leave the sentence out."""
-    items = table(spark, d, "items").select("sentence_id", "text").dropna().dropDuplicates(["sentence_id"])
     g = table(spark, d, "gold").select("sentence_id", "start", "end", _label().alias("entity_type")).where(F.col("entity_type").isin("PHONE", "IBAN", "EMAIL", "NATIONAL_ID")).distinct()
     packed = g.groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "entity_type"))).alias("gold"))
-    return items.join(packed, "sentence_id")
+    meets = F.exists(F.sequence(F.lit(1), F.size("gold") - 1), lambda i: F.get("gold", i)["start"] < F.get("gold", i - 1)["end"])
+    return _latest(table(spark, d, "items")).join(packed.where((F.size("gold") == 1) | ~meets), "sentence_id")
 
 
 def _outcome(df: DataFrame, steps) -> DataFrame:
-    """df: config, sentence_id, text, clean_text, gold (of the clean text), new_gold. One row per identifier: altered, leaked, missed."""
-    out = redact(df, "text", steps, mask_format=("[", "]"))
+    """df: config, sentence_id, text, clean_text, gold (of the clean text), new_gold. One row per identifier: altered, leaked (a fragment
+    can be read), leaked_whole (all of it), missed."""
+    out = redact(spread(df), "text", steps, mask_format=("[", "]"))
     x = out.select("config", "sentence_id", "clean_text", "text", "redacted", "spans", F.explode(F.arrays_zip("gold", "new_gold")).alias("z"))
     ident = F.substring(F.col("clean_text"), F.col("z.gold.start") + 1, F.col("z.gold.end") - F.col("z.gold.start"))
     ctx = F.concat(F.substring(F.col("text"), F.lit(1), F.col("z.new_gold.start")), F.substring(F.col("text"), F.col("z.new_gold.end") + 1, F.length("text")))
     hit = F.exists("spans", lambda s: (s["entity_type"] == F.col("z.new_gold.entity_type")) & (score.iou(s["start"], s["end"], F.col("z.new_gold.start"), F.col("z.new_gold.end")) >= 0.5))
-    return x.select("config", "sentence_id", F.col("z.gold.start").alias("start"), F.col("z.new_gold.altered").alias("altered"), leaks.leaks(ident, F.col("redacted"), ctx).alias("leaked"), (~hit).alias("missed"))
+    return x.select("config", "sentence_id", F.col("z.gold.start").alias("start"), F.col("z.new_gold.altered").alias("altered"), leaks.leaks(ident, F.col("redacted"), ctx).alias("leaked"), leaks.leaks(ident, F.col("redacted"), ctx, WHOLE).alias("leaked_whole"), (~hit).alias("missed"))
 
 
-@query()
-def attack_matrix(spark, d):
-    """Attack success of all fixed configurations on reviewed sentences, with and without normalisation.
+#: A fragment longer than any identifier: the rule for whole identifiers.
+WHOLE = 10**6
 
-    Identifiers that a system protects in the clean sentence count; an attack succeeds where a fragment can be read afterwards.
-    """
+
+def _attacked(spark, d) -> DataFrame:
+    """Outcomes of every identifier of reviewed sentences, clean and under all fixed configurations, with and without normalisation."""
     cases = _attack_cases(spark, d)
     draw = attacks.drawing(11, F.col("sentence_id"))
-    clean = cases.select(F.lit("clean").alias("config"), "sentence_id", F.col("text").alias("clean_text"), "text", "gold", F.transform("gold", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit(False).alias("altered"))).alias("new_gold"))
-    rows = clean
+    rows = cases.select(F.lit("clean").alias("config"), "sentence_id", F.col("text").alias("clean_text"), "text", "gold", F.transform("gold", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit(False).alias("altered"))).alias("new_gold"))
     for cfg in attacks.FIXED:
         a = cases.withColumn("a", attacks.apply_fixed(F.col("text"), F.col("gold"), cfg, draw))
         rows = rows.unionByName(a.select(F.lit(cfg[0]).alias("config"), "sentence_id", F.col("text").alias("clean_text"), F.col("a.text").alias("text"), "gold", F.col("a.gold").alias("new_gold")))
     rows = cut(rows)
     out = None
-    for system, steps in (("full", None), ("no_stage1", ())):
-        r = _outcome(rows, steps) if steps is not None else _outcome(rows, ("nfkc", "bidi", "invisible", "digits", "tatweel", "confusables"))
-        r = r.withColumn("system", F.lit(system))
+    for system, steps in (("full", STEPS), ("no_stage1", ())):
+        r = _outcome(rows, steps).withColumn("system", F.lit(system))
         out = r if out is None else out.unionByName(r)
-    out = cut(out)
+    return cut(out)
+
+
+@query()
+def attack_matrix(spark, d):
+    """Attack success of all fixed configurations on reviewed sentences, with and without normalisation.
+
+    Identifiers that a system protects in the clean sentence count; an attack succeeds where a fragment can be read afterwards.
+    """
+    out = _attacked(spark, d)
     base = out.where("config = 'clean'").select("system", "sentence_id", "start", (~F.col("leaked")).alias("protected"))
     j = out.where("config <> 'clean'").join(base, ["system", "sentence_id", "start"])
     n = lambda c: F.sum(c.cast("long"))
@@ -574,7 +631,7 @@ def bootstrap_clusters(spark, d):
     their gold spans and runs of digits masked, 4000 replicates."""
     gold, _ = _gold_pred(spark, d)
     m = _marks(spark, d)
-    texts = table(spark, d, "sample_for_annotation").select(F.col("sentence_id").alias("case_id"), "text").dropna().dropDuplicates(["case_id"])
+    texts = _latest(table(spark, d, "sample_for_annotation")).withColumnRenamed("sentence_id", "case_id")
     packed = gold.groupBy("case_id").agg(F.collect_list(F.struct("start", "end")).alias("gold"))
     no_span = F.array().cast("array<struct<start:int,end:int>>")
     keyed = cut(texts.join(packed, "case_id", "left").select("case_id", annotate.cluster_key(F.col("text"), F.coalesce(F.col("gold").cast("array<struct<start:int,end:int>>"), no_span)).alias("cluster")))
@@ -673,10 +730,14 @@ def corpus_breakdown(spark, d):
     return r.groupBy("split", "e.entity_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT record_id, max_by({'t': text, 'e': entities}, {'l': loaded_at, 't': text}) AS x FROM generated_record WHERE text IS NOT NULL AND record_id IS NOT NULL GROUP BY 1),
+m AS (SELECT record_id, x.e AS e, regexp_extract_all(x.t, '\S+') AS m, string_split_regex(x.t, '\S+') AS g FROM r), u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+t AS (SELECT record_id, e, i, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s FROM u),
+p AS (SELECT *, lag(s) OVER (PARTITION BY record_id ORDER BY i) AS before, list_filter(coalesce(e, []), lambda x: x.start <= s AND s < x."end")[1] AS own FROM t)
+SELECT CASE WHEN own IS NULL THEN 'O' WHEN before >= own.start THEN concat('I-', own.entity_type) ELSE concat('B-', own.entity_type) END AS tag, count(*) AS n FROM p GROUP BY 1""".replace("\\\\", "\\"))
 def bio_tags(spark, d):
-    r = annotate.to_bio(table(spark, d, "generated_record").select("record_id", "text", "entities").dropDuplicates(["record_id"]))
-    return r.select(F.explode("tokens").alias("t")).groupBy("t.tag").agg(F.count("*").alias("n"))
+    r = table(spark, d, "generated_record").where("text IS NOT NULL AND record_id IS NOT NULL").groupBy("record_id").agg(F.max_by(F.struct("text", "entities"), F.struct("loaded_at", "text")).alias("r"))
+    return annotate.to_bio(spread(r.select("record_id", "r.*"))).select(F.explode("tokens").alias("t")).groupBy("t.tag").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT c_custkey, CAST((CAST(concat(lpad(CAST(c_custkey AS VARCHAR), 20, '4'), '281000') AS HUGEINT)) % 97 AS INTEGER) AS rest, lpad(CAST(98 - (CAST(concat(lpad(CAST(c_custkey AS VARCHAR), 20, '4'), '281000') AS HUGEINT)) % 97 AS VARCHAR), 2, '0') AS check_digits FROM customer""")
@@ -703,7 +764,14 @@ def flagged_contexts(spark, d):
     return f.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"), F.min("context").alias("example"))
 
 
-@query()
+_CODES_SQL = "(?:966|971|964|962|965|973|20)"
+_IBAN_SQL = "|".join([*[f"(?:{k})[0-9](?: ?[0-9]){{{n - 1}}}" for k, n in lx.IBAN_DIGITS.items()], *[f"(?:{k})[0-9] ?[0-9](?: ?[A-Za-z]){{4}}(?: ?[A-Za-z0-9]){{{n}}}" for k, n in lx.IBAN_AFTER_BANK.items()]])
+
+
+@query(rf"""WITH t AS (SELECT DISTINCT sentence_id, text FROM items WHERE text IS NOT NULL),
+x AS (SELECT regexp_matches(text, '(?:^|[^0-9])00{_CODES_SQL}[0-9 .\-]{{7,14}}[0-9]') AS a, regexp_matches(text, '\+{_CODES_SQL} ?\([0-9]{{2,3}}\)[0-9 .\-]{{5,12}}[0-9]') AS b,
+ regexp_matches(text, '(?:^|[^0-9+])0?5[0-9][ \-]?[0-9]{{3}}[ \-]?[0-9]{{4}}(?:[^0-9]|$)') AS l, len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9])(?:{_IBAN_SQL})(?:[^A-Za-z0-9]|$)')) AS i FROM t)
+SELECT CASE WHEN l AND NOT a AND NOT b THEN 'ambiguous' ELSE 'scored' END AS verdict, CAST(CASE WHEN l AND NOT a AND NOT b THEN 0 ELSE CAST(a AS INT) + CAST(b AS INT) + i END AS INTEGER) AS spans, count(*) AS n FROM x GROUP BY 1, 2""")
 def relabelled_items(spark, d):
     items = table(spark, d, "items").where("text IS NOT NULL").select(F.col("sentence_id").alias("case_id"), "text").distinct().withColumn("gold", F.array().cast("array<struct<start:int,end:int,type:string>>"))
     r = annotate.relabel(items)
