@@ -433,7 +433,8 @@ def trigram_similarity(spark, d):
 
 def _latest(items: DataFrame, key: str = "sentence_id") -> DataFrame:
     """(key, text): of a key sent with several texts the one that was loaded last."""
-    return items.where("text IS NOT NULL").groupBy(key).agg(F.max_by("text", F.struct("loaded_at", "text")).alias("text")).where(F.col(key).isNotNull())
+    order = F.struct(*[c for c in ("loaded_at", "text") if c in items.columns])
+    return items.where("text IS NOT NULL").groupBy(key).agg(F.max_by("text", order).alias("text")).where(F.col(key).isNotNull())
 
 
 def _attack_cases(spark, d) -> DataFrame:
@@ -667,7 +668,8 @@ def latency_summary(spark, d):
 @query()
 def reidentification(spark, d):
     """Masked identifiers of dev and test records guessed from training records with the most similar surroundings."""
-    r = table(spark, d, "generated_record").select("record_id", F.lower(F.trim("split")).alias("split"), "text", "entities").where("text IS NOT NULL AND size(entities) > 0").dropDuplicates(["record_id"])
+    r = table(spark, d, "generated_record").select("record_id", F.lower(F.trim("split")).alias("split"), "text", "entities").where("text IS NOT NULL AND size(entities) > 0")
+    r = r.groupBy("record_id").agg(F.max_by(F.struct("split", "text", "entities"), F.struct("text", "split")).alias("r")).select("record_id", "r.*")  # a record sent twice counts once
     spans = F.transform("entities", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.lit("regex").alias("origin"), F.lit(1.0).alias("score"), F.lit(False).alias("expanded")))
     rec = r.where("split IN ('dev', 'test')").select("record_id", F.col("text").alias("original"), spans.alias("spans")).withColumn("redacted", fuse.mask(F.col("original"), F.col("spans")))
     each = r.where("split = 'train'").select("record_id", "text", F.posexplode("entities").alias("i", "e"))
