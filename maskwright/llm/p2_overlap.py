@@ -9,8 +9,9 @@ length). Shingles are ordered from rare to common. Two records of n and m shingl
 that share o of them share SHARED of the first n - o + SHARED of the one and the
 first m - o + SHARED of the other. So the evaluation texts' prefixes are indexed and
 the training texts' prefixes probe them; a match counts only if it lies in the
-prefixes that the two lengths ask for and if what follows it can still suffice, and
-every candidate with that many matches is verified on its whole text.
+prefixes that the two lengths ask for, if what follows it can still suffice, and if
+the parities of the two sets (below) do not already differ too much; every candidate
+with that many matches is verified on its whole text.
 
 Both records must carry the same identifiers and reference numbers. That condition
 is part of the join key: a record's digits in order and its e-mail addresses,
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,10 @@ SIZE = 5
 SIMILARITY = 0.55
 #: Matches in the prefixes that make a candidate; the prefixes are longer by as many, less one. More of them cost a longer prefix
 #: and leave fewer candidates; the result is the same for any number.
-SHARED = 12
+SHARED = 4
+#: Words of 64 bits of a set's parities: bit i tells whether an odd number of its shingles falls in class i. Parities differ in no
+#: more bits than the sets differ in shingles, so the filter loses nothing; in long texts it only filters less.
+PARITY = 6
 BUCKETS = 1 << 18
 
 _DOT = r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\sdot\s)"
@@ -173,12 +177,12 @@ def _classes(records: DataFrame, key: str, text: str) -> DataFrame:
     side = F.when(canonical_split("split") == "train", 0).when(canonical_split("split").isin("dev", "test"), 1)
     rows = records.select(F.col(key).alias("record"), side.alias("side"), F.col(text).alias("text")).dropna().distinct()
 
-    def reduce(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reduced_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             reduced, identities = reduce_texts(pdf.pop("text").tolist())
             yield pdf.assign(reduced=reduced, identity=identities)
 
-    reduced = rows.mapInPandas(reduce, "record string, side int, reduced string, identity string").where("reduced <> ''")
+    reduced = rows.mapInPandas(reduced_of, "record string, side int, reduced string, identity string").where("reduced <> ''")
     name = F.unhex(F.md5(F.concat_ws("|", "identity", "reduced").cast("binary")))
     return reduced.select("side", "record", name.alias("c"), F.xxhash64("identity").alias("k"), "identity", "reduced")
 
@@ -203,22 +207,33 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY, shared: in
     least this similarity. texts: side, h, k, identity, reduced, one row per h. Texts equal to each other are among the pairs."""
     common = texts.sparkSession.sparkContext.broadcast(_bucket_counts(texts))
 
+    words = [f"parity{i}" for i in range(PARITY)]
+
     def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         freq = common.value
         for pdf in parts:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for side, h, k, s in zip(pdf["side"], pdf["h"], pdf["k"], shingle_sets(pdf["reduced"].tolist())):
+            tokens, first, sizes, parities, places = [], [], [], [], []
+            for k, s in zip(pdf["k"], shingle_sets(pdf["reduced"].tolist())):
+                classes = ((s >> np.uint64(20)) % np.uint64(64 * PARITY)).astype(np.int64)
+                parities.append(np.packbits(np.bincount(classes, minlength=64 * PARITY).astype(np.uint8) & 1).view(np.int64))
                 s = s[np.lexsort((s, freq[(s % np.uint64(BUCKETS)).astype(np.int64)]))]
                 m = min(len(s), len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + shared)
-                token = (s[:m].view(np.int64) * np.int64(31)) ^ np.int64(k)
-                for c, v in zip(cols, (token, np.full(m, side, np.int32), np.full(m, h), np.full(m, len(s), np.int32), np.arange(m, dtype=np.int32))):
-                    c.append(v)
-            if cols[0]:
-                yield pd.DataFrame(dict(zip(("token", "side", "h", "size", "pos"), map(np.concatenate, cols))))
-
-    index = texts.mapInPandas(prefixes, "token long, side int, h long, size int, pos int")
+                tokens.append((s[:m].view(np.int64) * np.int64(31)) ^ np.int64(k))
+                places.append(np.arange(m, dtype=np.int32))
+                first.append(m)
+                sizes.append(len(s))
+            if tokens:
+                each = lambda v, t: np.repeat(np.asarray(v, t), first, axis=0)  # noqa: B023, E731
+                own = each(parities, np.int64)
+                yield pd.DataFrame(
+                    {"token": np.concatenate(tokens), "side": each(pdf["side"], np.int32), "h": each(pdf["h"], np.int64), "size": each(sizes, np.int32), "pos": np.concatenate(places)}
+                    | {w: own[:, i] for i, w in enumerate(words)}
+                )
+
+    index = texts.mapInPandas(prefixes, "token long, side int, h long, size int, pos int, " + ", ".join(f"{w} long" for w in words))
     a, b = index.where("side = 0").alias("a"), index.where("side = 1").alias("b")
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-9).cast("int")
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words])
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
@@ -227,7 +242,8 @@ def similar_classes(texts: DataFrame, similarity: float = SIMILARITY, shared: in
         & (F.col("a.pos") < F.col("a.size") - need + shared)
         & (F.col("b.pos") < F.col("b.size") - need + shared)
         # what came before, at most, and all that follows must suffice
-        & (F.least(F.col("a.pos"), F.col("b.pos")) + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= need),
+        & (F.least(F.col("a.pos"), F.col("b.pos")) + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= need)
+        & (unlike <= F.col("a.size") + F.col("b.size") - 2 * need),
     )
     matches = met.groupBy(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b")).agg(F.count("*").alias("n"), F.first(F.least(F.lit(shared), need)).alias("least"))
     candidates = matches.where("n >= least").select("h_a", "h_b")
