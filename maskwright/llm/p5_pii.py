@@ -71,25 +71,38 @@ def align(text: str) -> str:
 
 
 _S = rf"[ {Z}]*"
-_L = rf"[^\W\d_](?:{Z}*[^\W\d_])*"
-_AT = rf"(?:{_S}@{_S}|{_S}[\[(]{_S}(?:at|AT|At){_S}[\])]{_S})"
-_DOT = rf"(?:{Z}*\.{Z}*|{_S}[\[(]{_S}(?:dot|DOT|Dot){_S}[\])]{_S}| (?:dot|DOT) )"
-_LOCAL = rf"[A-Za-z0-9](?:[A-Za-z0-9._%+\-{Z}]*[A-Za-z0-9])?"
-_LABEL = rf"[A-Za-z0-9](?:[A-Za-z0-9{Z}\-]*[A-Za-z0-9])?"
-_DOMAIN = rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z](?:{Z}*[A-Za-z])+(?![A-Za-z0-9])"
-# A bare word "at" is a sign only in capitals, or after a name with a digit or separator in it, and not before another sign.
-_BARE = rf"(?:{_LOCAL}{_S} AT {_S}|(?=[A-Za-z]*[0-9._+])(?:{_LOCAL}){_S} at {_S}){_DOMAIN}(?!{_AT}|[0-9_+]|\.\w| AT )"
-# Between digits of one number: nothing, a comma, or a separator with a bracket and another one after that.
-_NUM_SEP = rf"{Z}*(?:,|(?:[ .\-/:]{Z}*)?(?:[()]{Z}*(?:[ .\-]{Z}*)?)?)"
-_TOKEN = re.compile(
-    rf"(?P<mail>{_LOCAL}{_AT}{_DOMAIN}|{_BARE})"
-    rf"|(?P<iban>[A-Za-z]{Z}*[A-Za-z]{Z}*\d{Z}*\d(?:[ \-{Z}]*[A-Za-z](?:{Z}*[A-Za-z]){{3}})?(?:[ \-{Z}]*\d){{8,}}(?![A-Za-z]))"
-    rf"|(?P<num>(?:\({Z}*)?\+?{Z}*(?<![A-Za-z0-9_])\(?{Z}*\d(?:{_NUM_SEP}\d)*)"
-    rf"|(?P<initial>\b[A-Z]{Z}*\.(?= ?[A-Z]))"
-    rf"|(?P<word>{_L}(?:{Z}*['’\-]{Z}*{_L})*)"
-    rf"|(?P<mixed>[\w{Z}]*\w(?:[\-_][\w{Z}]*\w)*)"
-    rf"|(?P<sign>[^\s{Z}])"
-)
+
+
+def _patterns(z: str) -> tuple[re.Pattern, re.Pattern]:
+    """Tokens of texts with and without addresses. z: what may stand between the characters of a token - characters that draw
+    nothing, or nothing in texts that have none."""
+    s = rf"[ {Z}]*"
+    letters = rf"[^\W\d_](?:{z}[^\W\d_])*" if z else r"[^\W\d_]+"
+    at = rf"(?:{s}@{s}|{s}[\[(]{s}(?:at|AT|At){s}[\])]{s})"
+    dot = rf"(?:{z}\.{z}|{s}[\[(]{s}(?:dot|DOT|Dot){s}[\])]{s}| (?:dot|DOT) )"
+    local = rf"[A-Za-z0-9](?:[A-Za-z0-9._%+\-{Z}]*[A-Za-z0-9])?"
+    label = rf"[A-Za-z0-9](?:[A-Za-z0-9{Z}\-]*[A-Za-z0-9])?"
+    domain = rf"{label}(?:{dot}{label})*{dot}[A-Za-z](?:{z}[A-Za-z])+(?![A-Za-z0-9])"
+    # A bare word "at" is a sign only in capitals, or after a name with a digit or separator in it, and not before another sign.
+    bare = rf"(?:{local}{s} AT {s}|(?=[A-Za-z]*[0-9._+])(?:{local}){s} at {s}){domain}(?!{at}|[0-9_+]|\.\w| AT )"
+    # Between digits of one number: nothing, a comma, or a separator with a bracket and another one after that.
+    num_sep = rf"{z}(?:,|(?:[ .\-/:]{z})?(?:[()]{z}(?:[ .\-]{z})?)?)"
+    other = (
+        rf"(?P<iban>[A-Za-z]{z}[A-Za-z]{z}\d{z}\d(?:[ \-{Z}]*[A-Za-z](?:{z}[A-Za-z]){{3}})?(?:[ \-{Z}]*\d){{8,}}(?![A-Za-z]))"
+        rf"|(?P<num>(?:\({z})?\+?{z}(?<![A-Za-z0-9_])\(?{z}\d(?:{num_sep}\d)*)"
+        rf"|(?P<initial>\b[A-Z]{z}\.(?= ?[A-Z]))"
+        rf"|(?P<word>{letters}(?:{z}['’\-]{z}{letters})*)"
+        rf"|(?P<mixed>[\w{Z}]*\w(?:[\-_][\w{Z}]*\w)*)"
+        rf"|(?P<sign>[^\s{Z}])"
+    )
+    with_mail = re.compile(rf"(?P<mail>{local}{at}{domain}|{bare})|{other}")
+    return with_mail, re.compile(other)
+
+
+#: By whether a text has characters that draw nothing.
+_TOKEN = {True: _patterns(f"{Z}*"), False: _patterns("")}
+#: What every address holds in some form: a text without it needs no search for addresses.
+_ANY_AT = re.compile(rf"@| at | AT |[\[(]{_S}(?:at|AT|At){_S}[\])]")
 _SEP = re.compile(r"[^0-9A-Za-z+]+")
 _CODES = ("966", "971", "964", "962", "965", "973", "20")
 
@@ -97,13 +110,16 @@ _CODES = ("966", "971", "964", "962", "965", "973", "20")
 def tokens(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type key) of each token; the key holds all that its features use."""
     a = align(text)
+    hidden = Z in a
     out = []
-    for m in _TOKEN.finditer(a):
-        s, e, kind = m.start(), m.end(), m.lastgroup
-        w = m.group().replace(Z, "")
-        if kind == "num":
-            w = w.rstrip(")") if "(" not in w else w
-            key = _number_key(w)
+    for m in _TOKEN[hidden][0 if _ANY_AT.search(a) else 1].finditer(a):
+        kind, w = m.lastgroup, m.group()
+        if hidden:
+            w = w.replace(Z, "")
+        if kind == "word" or kind == "sign":
+            key = w
+        elif kind == "num":
+            key = _number_key(w.rstrip(")") if "(" not in w else w)
         elif kind == "mail":
             key = f"\x01mail {'@' if '@' in w else 'at'}"
         elif kind == "iban":
@@ -111,11 +127,9 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
             key = f"\x01iban {c[:2].upper()} {len(c)} {'g' if len(c) < len(w) else 'c'}"
         elif kind == "initial":
             key = "\x01initial "
-        elif kind == "mixed":
-            key = "\x01mixed " + re.sub(r"\d", "9", w)[:24]
         else:
-            key = w
-        out.append((s, e, key))
+            key = "\x01mixed " + re.sub(r"\d", "9", w)[:24]
+        out.append((*m.span(), key))
     return out
 
 

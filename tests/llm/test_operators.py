@@ -255,6 +255,16 @@ def test_p5_tokens_and_model(spark):
     assert sorted(map(tuple, p5.detect(df, again).collect())) == sorted(map(tuple, got.collect()))
 
 
+def test_p5_tokens_of_any_text():
+    """Texts without addresses or without invisible characters take shorter patterns, which give the same tokens."""
+    rng = random.Random(13)
+    parts = ["Call", "huda.k", " at ", " AT ", "@", "[at]", "mail", " dot ", ".", "test", "+966", " ", "-", "(50)", "123", "SA79", "1234", "5678", "عبد", "الله", "A.", "B", "x_1", ",", "’s", p5.Z, "٣", "É"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        full = [(m.start(), m.end(), m.lastgroup) for m in p5._TOKEN[True][0].finditer(p5.align(t))]
+        assert [(a, b) for a, b, _ in p5.tokens(t)] == [(a, b) for a, b, _ in full]
+
+
 def test_p5_viterbi_is_exact():
     rng = np.random.default_rng(1)
     e, tr, st = rng.normal(size=(1, 4, p5.N)).astype(np.float32), rng.normal(size=(p5.N, p5.N)).astype(np.float32), rng.normal(size=p5.N).astype(np.float32)
