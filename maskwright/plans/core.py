@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from maskwright.functions import charmap as cm
 from maskwright.functions import lexicon as lx
 from maskwright.functions import text as tx
+from maskwright.functions.scan import scanned_counts
 from maskwright.functions.session import cut, spread, table
 from maskwright.operators import annotate, attacks, audit, detect, fuse, leaks, score, stats, synth
 from maskwright.operators.normalize import STEPS, any_adversarial_signal, normalize
 from maskwright.operators.redact import redact, run_systems
+from maskwright.schema import ENTITY_TYPES
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -86,8 +88,8 @@ def email_spans(spark, d):
 @query()
 def entity_counts_by_lang(spark, d):
     """Spans per language and type over normalised documents, zeros included, before fusion."""
-    n = normalize(spread(table(spark, d, "documents").select("lang", "text")), report=None)
-    c = n.select(F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang"), F.explode(detect.entity_counts(detect.detect(F.col("normalized")))).alias("entity_type", "n"))
+    n = spread(table(spark, d, "documents").select("lang", "text")).withColumn("n", F.coalesce(scanned_counts(F.col("text"), STEPS), F.array_repeat(F.lit(0), len(ENTITY_TYPES))))
+    c = n.select(F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang"), F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in ENTITY_TYPES]), "n")).alias("entity_type", "n"))
     return c.groupBy("lang", "entity_type").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
 
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import charmap as cm
-from maskwright.functions.scan import Scanner
-from maskwright.operators.normalize import STEPS
+from maskwright.functions.scan import Scanner, scanned_counts
+from maskwright.operators.detect import detect
+from maskwright.operators.normalize import STEPS, normalize
 from maskwright.operators.redact import ABLATIONS, redact
 from maskwright.operators.synth import SCALING_INPUTS, scaling_text
 
@@ -33,6 +34,13 @@ def test_arrow_equals_columns(spark, name):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_counts_before_fusion(spark):
+    df = spark.createDataFrame(list(enumerate(_texts(100))), "i int, text string")
+    by_columns = normalize(df, report=None).select("i", F.expr("transform(array('EMAIL', 'URL', 'IP_ADDRESS', 'PHONE', 'IBAN', 'NATIONAL_ID'), t -> t)").alias("t"), detect(F.col("normalized")).alias("s"))
+    want = {r.i: None if r.s is None else [sum(x.entity_type == t for x in r.s) for t in r.t] for r in by_columns.collect()}
+    assert {r.i: r.n for r in df.select("i", scanned_counts(F.col("text"), STEPS).alias("n")).collect()} == want
+
+
 def test_extra_columns_and_other_masks(spark):
     df = spark.createDataFrame([(1, "mail a1@b.co", "x"), (2, None, "y")], "id int, body string, spans string").withColumn("redacted", F.lit(0))
     got = {r.id: r for r in redact(df, "body", mask_format=("<", ">")).collect()}
