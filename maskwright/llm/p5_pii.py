@@ -245,14 +245,15 @@ def emissions(x: np.ndarray, tables: np.ndarray, own: np.ndarray | None = None)
 def viterbi(e: np.ndarray, n: np.ndarray, trans: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     b, t, _ = e.shape
     back = np.zeros((b, t, N), np.int8)
+    into = np.ascontiguousarray(trans.T)
     v = e[:, 0] + start
     best_end = np.zeros((b, t), np.int8)
     best_end[:, 0] = v.argmax(1)
     for j in range(1, t):
-        m = v[:, :, None] + trans
-        k = m.argmax(1)
+        m = v[:, None, :] + into  # the tag before in the last axis, where a maximum is found fastest
+        k = m.argmax(2)
         back[:, j] = k
-        v = np.take_along_axis(m, k[:, None], 1)[:, 0] + e[:, j]
+        v = np.take_along_axis(m, k[:, :, None], 2)[:, :, 0] + e[:, j]
         best_end[:, j] = v.argmax(1)
     out = np.zeros((b, t), np.int64)
     rows = np.arange(b)
@@ -462,8 +463,11 @@ def detect(texts: DataFrame, model: Model) -> DataFrame:
                 part = pdf.iloc[lo : lo + 2048]
                 toks = [tokens(t) for t in part["text"]]
                 tags = m.decode([[k for _, _, k in x] for x in toks])
-                rows = [(i, h, *s) for i, h, t, x, y in zip(part["sentence_id"], part["text_key"], part["text"], toks, tags) for s in spans_of(t, x, y)]
-                yield pd.DataFrame(rows, columns=["sentence_id", "text_key", "start", "end", "label"])
+                found = [spans_of(t, x, y) for t, x, y in zip(part["text"], toks, tags)]
+                each = np.fromiter(map(len, found), np.int64, len(found))
+                start, end, label = zip(*(s for f in found for s in f)) if each.any() else ((), (), ())
+                own = {c: np.repeat(part[c].to_numpy(), each) for c in ("sentence_id", "text_key")}
+                yield pd.DataFrame(own | {"start": np.array(start, np.int32), "end": np.array(end, np.int32), "label": np.array(label, object)})
 
     own = texts.select("sentence_id", "text").dropna().distinct().withColumn("text_key", F.xxhash64("text"))
     return own.mapInPandas(find, "sentence_id string, text_key long, start int, end int, label string")
