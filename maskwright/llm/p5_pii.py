@@ -14,6 +14,7 @@ distinct shape and word of a batch and then only looked up.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
@@ -70,6 +71,29 @@ def align(text: str) -> str:
     return text if text.isascii() else text.translate(_aligned_table())
 
 
+@lru_cache(1)
+def _aligned_codes() -> np.ndarray:
+    """The same table as an array over the code points of the first two planes, beyond which nothing is folded."""
+    out = np.arange(0x20000, dtype=np.uint32)
+    for c, to in _aligned_table().items():
+        if c < len(out):
+            out[c] = ord(to)
+    return out
+
+
+def align_many(texts: list[str]) -> list[str]:
+    """align of many texts, by one table lookup over all their characters; a batch that holds others goes one by one."""
+    table = _aligned_codes()
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(codes) and int(codes.max()) >= len(table):
+        return [align(t) for t in texts]
+    whole, at, out = table[codes].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), 0, []
+    for n in map(len, texts):
+        out.append(whole[at : at + n])
+        at += n
+    return out
+
+
 _S = rf"[ {Z}]*"
 
 
@@ -107,9 +131,9 @@ _SEP = re.compile(r"[^0-9A-Za-z+]+")
 _CODES = ("966", "971", "964", "962", "965", "973", "20")
 
 
-def tokens(text: str) -> list[tuple[int, int, str]]:
+def tokens(text: str, aligned: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, type key) of each token; the key holds all that its features use."""
-    a = align(text)
+    a = align(text) if aligned is None else aligned
     hidden = Z in a
     out = []
     for m in _TOKEN[hidden][0 if _ANY_AT.search(a) else 1].finditer(a):
@@ -458,10 +482,12 @@ def detect(texts: DataFrame, model: Model) -> DataFrame:
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
+        gc.freeze()  # the model and the tables live as long as the task: no need to look through them again and again
         for pdf in parts:
             for lo in range(0, len(pdf), 2048):
                 part = pdf.iloc[lo : lo + 2048]
-                toks = [tokens(t) for t in part["text"]]
+                texts_ = part["text"].tolist()
+                toks = [tokens(t, a) for t, a in zip(texts_, align_many(texts_))]
                 tags = m.decode([[k for _, _, k in x] for x in toks])
                 found = [spans_of(t, x, y) for t, x, y in zip(part["text"], toks, tags)]
                 each = np.fromiter(map(len, found), np.int64, len(found))

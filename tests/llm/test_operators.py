@@ -255,6 +255,13 @@ def test_p5_tokens_and_model(spark):
     assert sorted(map(tuple, p5.detect(df, again).collect())) == sorted(map(tuple, got.collect()))
 
 
+def test_p5_alignment_of_many():
+    texts = ["", "Ｃall ٣ é", "\U0001f600 x", "ﻻ ​", "plain"]
+    assert p5.align_many(texts) == [p5.align(t) for t in texts] and p5.align_many([]) == []
+    assert p5.align_many([*texts, "\U0002f800"]) == [p5.align(t) for t in [*texts, "\U0002f800"]]
+    assert all(len(a) == len(t) for a, t in zip(p5.align_many(texts), texts))
+
+
 def test_p5_tokens_of_any_text():
     """Texts without addresses or without invisible characters take shorter patterns, which give the same tokens."""
     rng = random.Random(13)
