@@ -82,8 +82,10 @@ def _aligned_codes() -> np.ndarray:
 
 
 def align_many(texts: list[str]) -> list[str]:
-    """align of many texts, by one table lookup over all their characters; a batch that holds others goes one by one."""
+    """align of many texts, by one table lookup over all their characters; a batch that holds others, or is very long, goes one by one."""
     table = _aligned_codes()
+    if sum(map(len, texts)) > 8_000_000:
+        return [align(t) for t in texts]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(codes) and int(codes.max()) >= len(table):
         return [align(t) for t in texts]
