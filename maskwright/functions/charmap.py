@@ -23,6 +23,10 @@ CONFUSABLE_TO = "ABEKMHOPCTXIJSaeopcyxijshdABEZHIKMNOPTYXovipu"
 MORE_CONFUSABLE_FROM = "ᎪᏴᏟᎬᏚᎻɑօɡıոսǀԁƽУ"
 MORE_CONFUSABLE_TO = "ABCESHaoginuldsY"
 
+# The letters beyond CONFUSABLE_FROM that the leak scorers fold.
+SCORED_CONFUSABLE_FROM = "ᎪᏴᏟᎬᏚᎻɑօɡıոսǀƽ"
+SCORED_CONFUSABLE_TO = "ABCESHaoginuls"
+
 # Letters of other Arabic-script alphabets and the Arabic letter of each.
 ARABIC_KIN_FROM = "کیےەہھۀٱڪڬ"
 ARABIC_KIN_TO = "كييههههاكك"

@@ -89,9 +89,8 @@ def changed_chars(before: Column, after: Column) -> Column:
 def canon(c: Column) -> Column:
     """For scoring only: letters and digits as a lenient reader sees them - compatibility forms, digits and all look-alikes folded,
     format characters and everything else dropped, lower case."""
-    more = cm.MORE_CONFUSABLE_FROM.replace("У", "").replace("ԁ", ""), cm.MORE_CONFUSABLE_TO[:13] + "s"
     t = F.regexp_replace(nfkc(c), cm.invisible_java(), "")
-    t = F.translate(fold_digits(t), cm.CONFUSABLE_FROM + more[0], cm.CONFUSABLE_TO + more[1])
+    t = F.translate(fold_digits(t), cm.CONFUSABLE_FROM + cm.SCORED_CONFUSABLE_FROM, cm.CONFUSABLE_TO + cm.SCORED_CONFUSABLE_TO)
     return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions import charmap as cm
 from maskwright.functions.text import canon, let
 
 FRAGMENT = 6
@@ -43,7 +49,53 @@ def leaks(ident: Column, out: Column, context: Column, k: int = FRAGMENT) -> Col
     copy survives counts. A k beyond any length is the rule for whole identifiers. Null identifier or output gives null."""
     x = F.struct(canon(ident).alias("i"), canon(out).alias("o"), canon(F.coalesce(context, F.lit(""))).alias("c"))
     bare = lambda x: F.when(x["i"] != "", F.replace(x["c"], x["i"], F.lit(""))).otherwise(x["c"])
-    return let(x, lambda x: let(bare(x), lambda c: _more(x["i"], x["o"], c, k)))
+    return F.when(ident.isNotNull() & out.isNotNull(), let(x, lambda x: let(bare(x), lambda c: _more(x["i"], x["o"], c, k))))
+
+
+@lru_cache(1)
+def _canon_tables() -> tuple[dict, re.Pattern, re.Pattern]:
+    fold = str.maketrans(
+        cm.ARABIC_INDIC + cm.EXT_ARABIC_INDIC + cm.CONFUSABLE_FROM + cm.SCORED_CONFUSABLE_FROM, cm.WESTERN * 2 + cm.CONFUSABLE_TO + cm.SCORED_CONFUSABLE_TO
+    )
+    return fold, re.compile(f"[{cm.invisible_py()}]"), re.compile(r"[\W_]+")
+
+
+def _canon(t: str) -> str:
+    """What functions.text.canon gives, for one text."""
+    fold, invisible, other = _canon_tables()
+    if not t.isascii():
+        t = invisible.sub("", unicodedata.normalize("NFKC", t)).translate(fold)
+    return other.sub("", t).lower()
+
+
+def _copies(hay: str, needle: str) -> int:
+    n, at = 0, hay.find(needle)
+    while at >= 0:
+        n, at = n + 1, hay.find(needle, at + 1)
+    return n
+
+
+def _leak(i: str, o: str, c: str, k: int) -> bool:
+    pieces = {i[j : j + k] for j in range(len(i) - k + 1)} if len(i) >= k else {i}
+    return any(f in o and _copies(o, f) > _copies(c, f) for f in pieces if f)
+
+
+def leaks_of(ident: Column, out: Column, context: Column, ks: tuple[int, ...] = (FRAGMENT,)) -> Column:
+    """leaks for several fragment lengths at once, as an array: one Arrow function, for tables of many attacked texts."""
+
+    @F.arrow_udf("array<boolean>")
+    def judge(ident: pa.Array, out: pa.Array, context: pa.Array) -> pa.Array:
+        rows = []
+        for x, y, z in zip(ident.to_pylist(), out.to_pylist(), context.to_pylist()):
+            if x is None or y is None:
+                rows.append(None)
+                continue
+            i, o, c = _canon(x), _canon(y), _canon(z or "")
+            c = c.replace(i, "") if i else c
+            rows.append([_leak(i, o, c, k) for k in ks])
+        return pa.array(rows, pa.list_(pa.bool_()))
+
+    return judge(ident, out, context)
 
 
 def trigram_jaccard(a: Column, b: Column, n: int = 3) -> Column:

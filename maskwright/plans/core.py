@@ -455,7 +455,8 @@ def _outcome(df: DataFrame, steps) -> DataFrame:
     ident = F.substring(F.col("clean_text"), F.col("z.gold.start") + 1, F.col("z.gold.end") - F.col("z.gold.start"))
     ctx = F.concat(F.substring(F.col("text"), F.lit(1), F.col("z.new_gold.start")), F.substring(F.col("text"), F.col("z.new_gold.end") + 1, F.length("text")))
     hit = F.exists("spans", lambda s: (s["entity_type"] == F.col("z.new_gold.entity_type")) & (score.iou(s["start"], s["end"], F.col("z.new_gold.start"), F.col("z.new_gold.end")) >= 0.5))
-    return x.select("config", "sentence_id", F.col("z.gold.start").alias("start"), F.col("z.new_gold.altered").alias("altered"), leaks.leaks(ident, F.col("redacted"), ctx).alias("leaked"), leaks.leaks(ident, F.col("redacted"), ctx, WHOLE).alias("leaked_whole"), (~hit).alias("missed"))
+    y = x.select("config", "sentence_id", F.col("z.gold.start").alias("start"), F.col("z.new_gold.altered").alias("altered"), leaks.leaks_of(ident, F.col("redacted"), ctx, (leaks.FRAGMENT, WHOLE)).alias("l"), (~hit).alias("missed"))
+    return y.select("config", "sentence_id", "start", "altered", F.get("l", 0).alias("leaked"), F.get("l", 1).alias("leaked_whole"), "missed")
 
 
 #: A fragment longer than any identifier: the rule for whole identifiers.
@@ -513,7 +514,7 @@ def adaptive_attack(spark, d):
     def leaked(a: DataFrame) -> DataFrame:
         a = cut(a.withColumn("attacked", F.concat("head", "new", "tail")))
         r = cut(redact(spread(a), "attacked"))
-        return r.where(leaks.leaks(F.col("ident"), F.col("redacted"), F.concat("head", "tail")))
+        return r.where(F.get(leaks.leaks_of(F.col("ident"), F.col("redacted"), F.concat("head", "tail")), 0))
 
     bare = cut(leaked(ids.withColumn("new", F.col("ident"))).select("sentence_id", "g"))
     left = ids.join(bare, ["sentence_id", "g"], "left_anti").withColumn("mode", F.explode(F.array(F.lit("open"), F.lit("closed"))))

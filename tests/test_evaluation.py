@@ -116,6 +116,19 @@ def test_leaks(spark):
     assert [x.d for x in r[:4]] == [False, True, True, True]
 
 
+def test_leaks_by_arrow_equal_columns(spark):
+    rng = __import__("random").Random(4)
+    keys = synth.scorer_cases(synth.scorer_identifiers(spark.range(20), "id")).select("identifier", "output", "context")
+    parts = ["+966501234567", "٠٥٠١", "Сa", "ab\u200bcd", "ﻻ", "É", "ᎪᏴ", "user7@x.co", " ", "-", "7", "aaaa", "\U0001d7d9"]
+    say = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    odd = [(say(rng.randint(0, 4)), say(rng.randint(0, 8)), say(rng.randint(0, 8))) for _ in range(300)] + [(None, "x", "y"), ("x", None, "y"), ("abcdefg", "abcdefg", None), ("", "x", "")]
+    df = keys.unionByName(spark.createDataFrame(odd, "identifier string, output string, context string"))
+    i, o, c = F.col("identifier"), F.col("output"), F.col("context")
+    got = df.select("*", leaks.leaks_of(i, o, c, (6, 10**6)).alias("l"), leaks.leaks(i, o, c).alias("a"), leaks.leaks(i, o, c, 10**6).alias("b")).collect()
+    for r in got:
+        assert (r.l or [None, None]) == [r.a, r.b], r
+
+
 def test_occurrences_and_jaccard(spark):
     df = spark.createDataFrame([("aaaa", "aa"), ("abc", ""), ("abc", "d")], "h string, n string")
     assert [r[0] for r in df.select(leaks.occurrences(F.col("h"), F.col("n"))).collect()] == [3, 0, 0]
