@@ -450,14 +450,20 @@ def fit(rows: list, iterations: int = ITERATIONS) -> Model:
 
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
-    """The model as one row of a table; a model that is there already stays."""
+    """The model as one row of a table."""
     names = sorted(model.names, key=model.names.__getitem__)
     row = (names, *(bytes(np.ascontiguousarray(x, np.float32)) for x in (model.weights, model.trans, model.start)), list(model.weights.shape))
-    spark.createDataFrame([row], "names array<string>, weights binary, trans binary, start binary, shape array<int>").coalesce(1).write.mode("ignore").parquet(path)
+    spark.createDataFrame([row], "names array<string>, weights binary, trans binary, start binary, shape array<int>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load(spark: SparkSession, path: str) -> Model:
-    r = spark.read.parquet(path).first()
+def load(spark: SparkSession, path: str) -> Model | None:
+    """The model kept at a path; None if there is none, or one whose writing did not end."""
+    try:
+        r = spark.read.parquet(path).first()
+    except AnalysisException:
+        return None
+    if r is None:
+        return None
     numbers = lambda b, shape: np.frombuffer(b, np.float32).reshape(shape)
     return Model({n: i for i, n in enumerate(r.names)}, numbers(r.weights, r.shape), numbers(r.trans, (N, N)), numbers(r.start, N))
 
@@ -469,12 +475,11 @@ def model_of(items: DataFrame, gold: DataFrame) -> Model:
     rows = training_rows(items, gold)
     said = repr([(r["text"], [tuple(x) for x in r["spans"] or []]) for r in rows]) + f"|{ITERATIONS}|{WINDOW}|{DROPOUT}"
     path = f"{shared_dir(spark).rstrip('/')}/p5-model-{hashlib.sha256(said.encode()).hexdigest()[:32]}"
-    try:
-        return load(spark, path)
-    except AnalysisException:  # there is none yet
+    model = load(spark, path)
+    if model is None:
         model = fit(rows)
         save(model, spark, path)
-        return model
+    return model
 
 
 def detect(texts: DataFrame, model: Model) -> DataFrame:

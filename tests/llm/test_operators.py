@@ -250,6 +250,7 @@ def test_p5_tokens_and_model(spark):
     both = {r.text: r.masked for r in p5.mask(two, p5.detect(two, model)).collect()}
     assert both["Order 5 shipped. " + probe] == "Order 5 shipped. " + both[probe] and both[probe] == m["a"].masked  # each by its own spans
     path = p5.shared_dir(spark) + "/model-test"
+    assert p5.load(spark, path) is None
     p5.save(model, spark, path)
     again = p5.load(spark, path)
     assert sorted(map(tuple, p5.detect(df, again).collect())) == sorted(map(tuple, got.collect()))
