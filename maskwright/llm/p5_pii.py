@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import inspect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -469,11 +470,11 @@ def load(spark: SparkSession, path: str) -> Model | None:
 
 
 def model_of(items: DataFrame, gold: DataFrame) -> Model:
-    """The model for these tables: fitted once and kept in the shared folder under a digest of its training rows and parameters,
-    from where later queries load it."""
+    """The model for these tables: fitted once and kept in the shared folder under a digest of its training rows, parameters and
+    code, from where later queries load it."""
     spark = items.sparkSession
     rows = training_rows(items, gold)
-    said = repr([(r["text"], [tuple(x) for x in r["spans"] or []]) for r in rows]) + f"|{ITERATIONS}|{WINDOW}|{DROPOUT}"
+    said = repr([(r["text"], [tuple(x) for x in r["spans"] or []]) for r in rows]) + f"|{ITERATIONS}|{WINDOW}|{DROPOUT}|{inspect.getsource(inspect.getmodule(fit))}"
     path = f"{shared_dir(spark).rstrip('/')}/p5-model-{hashlib.sha256(said.encode()).hexdigest()[:32]}"
     model = load(spark, path)
     if model is None:

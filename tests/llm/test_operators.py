@@ -224,7 +224,7 @@ def test_p4_copies_of_one_text(spark):
     assert got.count() == 100_000 + 199_999 + 1 and got.where("key_a >= key_b").count() == 0
 
 
-def test_p5_tokens_and_model(spark):
+def test_p5_tokens_and_model(spark, tmp_path):
     t = "اتصل على +966 (50) 123-4567, mail huda.k [at] mail dot test or SA79 1234 5678 9012 3456 7890 ok."
     toks = [t[a:b] for a, b, _ in p5.tokens(t)]
     assert "+966 (50) 123-4567" in toks and "huda.k [at] mail dot test" in toks and "SA79 1234 5678 9012 3456 7890" in toks
@@ -249,7 +249,7 @@ def test_p5_tokens_and_model(spark):
     two = spark.createDataFrame([("a", probe), ("a", "Order 5 shipped. " + probe)], "sentence_id string, text string")
     both = {r.text: r.masked for r in p5.mask(two, p5.detect(two, model)).collect()}
     assert both["Order 5 shipped. " + probe] == "Order 5 shipped. " + both[probe] and both[probe] == m["a"].masked  # each by its own spans
-    path = p5.shared_dir(spark) + "/model-test"
+    path = str(tmp_path / "model")
     assert p5.load(spark, path) is None
     p5.save(model, spark, path)
     again = p5.load(spark, path)
