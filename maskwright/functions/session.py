@@ -33,13 +33,14 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a columnar, compressed cut of the lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    # Results are lazy, so they may read a cut long after the query returned it: it goes when the application ends.
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    # Results are lazy, so they may read a cut long after the query returned it: it goes when the application ends. (Only a path
+    # that exists can be marked so.)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
