@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import leaks, stats
-from maskwright.plans import core
+from maskwright.plans import core, evaluation
 
 
 def _sent(df) -> list[str]:
@@ -56,3 +56,13 @@ def test_scorer_validation_judges_a_case_once(spark, tmp_path):
     assert plan.count("ArrowEvalPython") == 1 and "exists(" not in plan
     got = {(x.case_kind, x.scorer): x for x in r.collect()}
     assert len(got) == 33 and got["partial_suffix", "v2"].n == 12 and got["partial_suffix", "v2"].correct == 8 and got["repeat_first_survives", "v2a"].false_negatives == 8
+
+
+def test_clean_vs_attacked_never_sends_its_draws(spark, tmp_path):
+    rows = [(f"r{i}", "test", f"mail user{i}@mail.test now", [(5, 20, "EMAIL")]) for i in range(6)]
+    df = spark.createDataFrame(rows, "record_id string, split string, text string, entities array<struct<start:int,end:int,entity_type:string>>")
+    df.withColumn("loaded_at", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/generated_record.parquet")
+    r = evaluation.clean_vs_attacked(spark, str(tmp_path))
+    sent = _sent(r)
+    assert sent and not [x for x in sent if "Generate" in x]
+    assert {(x.operator, x.records, x.replicates) for x in r.collect()} == {(k, 6, 400) for k in ("ARZ", "TAT", "DIA", "HGL 20%", "CMB")}
