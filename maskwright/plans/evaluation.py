@@ -204,13 +204,9 @@ def clean_vs_attacked(spark, d):
     attacked = cut(evaluate.perturbed(cases, 3, "record_id").where("operator <> 'HGL 100%'"))
     f1 = lambda df, *cols: redact(spread(df)).select(*cols, "gold", F.transform("spans", _SPAN).alias("p")).select(*cols, evaluate.sentence_f1(F.transform("gold", _SPAN), F.col("p")).alias("f1"), F.size(F.array_intersect(F.transform("gold", _SPAN), F.col("p"))).alias("tp"))
     both = cut(f1(attacked, "record_id", "operator").join(f1(cases, "record_id").withColumnsRenamed({"f1": "clean_f1", "tp": "clean_tp"}), "record_id"))
-    out = None
-    for name in ("ARZ", "TAT", "DIA", "HGL 20%", "CMB"):
-        one = both.where(F.col("operator") == name)
-        sums = one.agg(F.count("*").alias("records"), F.avg("clean_f1").alias("clean_f1"), F.avg("f1").alias("attacked_f1"), score.attack_success_rate(F.sum("clean_tp"), F.sum("tp")).alias("attack_success_rate"))
-        one = sums.crossJoin(stats.paired_bootstrap(one, "clean_f1", "f1", replicates=400)).withColumn("operator", F.lit(name))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+    sums = both.groupBy("operator").agg(F.count("*").alias("records"), F.avg("clean_f1").alias("clean_f1"), F.avg("f1").alias("attacked_f1"), score.attack_success_rate(F.sum("clean_tp"), F.sum("tp")).alias("attack_success_rate"))
+    tested = stats.paired_bootstraps(both, "operator", "clean_f1", "f1", replicates=400)
+    return tested.join(F.broadcast(sums), "operator").select(*[c for c in sums.columns if c != "operator"], *[c for c in tested.columns if c != "operator"], "operator")  # a row each
 
 
 # ---------------------------------------------------------------- membership inference

@@ -61,6 +61,25 @@ def test_scorer_validation_judges_a_case_once(spark, tmp_path):
     assert len(got) == 33 and got["partial_suffix", "v2"].n == 12 and got["partial_suffix", "v2"].correct == 8 and got["repeat_first_survives", "v2a"].false_negatives == 8
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 4])
+def test_bootstrap_sends_different_values_and_no_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(stats, "SENT", sent)
+    groups = {"x": [(i * 37 % 7) / 4 - 1 for i in range(60)], "y": [(i % 3) / 2 for i in range(60)], "z": [0.25, 0.25, -1.0, 0.5, 0.0, 0.0, 0.0, -2.0, 3.0], "one": [0.5]}
+    df = spark.createDataFrame([(k, v, 0.0) for k, vs in groups.items() for v in vs] + [("x", None, None)], "op string, a double, b double")
+    one = stats.paired_bootstrap(df.where("op = 'x'"), "a", "b", replicates=50, draw=core._arith)
+    got = stats.paired_bootstraps(df, "op", "a", "b", replicates=50, draw=core._arith)
+    if sent > 7:  # the numbered rows come from a window
+        assert not [x for r in (one, got) for x in _sent(r) if "Window" in x or "Generate" in x]
+    got = {r.op: r for r in got.collect()}
+    assert set(got) == set(groups) and got["x"][1:] == tuple(one.first())
+    for k, vs in groups.items():
+        d, n = sorted(vs), len(vs)
+        means = sorted(sum(d[(r * 7919 + i * 104729 + (r * i) % 613) % n] for i in range(n)) / n for r in range(50))
+        o = sum(d) / n
+        assert np.allclose([got[k].observed_diff, got[k].ci_lower, got[k].ci_upper], [o, means[1], means[47]], rtol=0, atol=1e-12), k
+    assert not stats.paired_bootstraps(df.where("false"), "op", "a", "b").collect()
+
+
 def test_clean_vs_attacked_never_sends_its_draws(spark, tmp_path):
     rows = [(f"r{i}", "test", f"mail user{i}@mail.test now", [(5, 20, "EMAIL")]) for i in range(6)]
     df = spark.createDataFrame(rows, "record_id string, split string, text string, entities array<struct<start:int,end:int,entity_type:string>>")
