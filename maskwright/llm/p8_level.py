@@ -18,12 +18,15 @@ that join is hot, and a stop word is never shuffled.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,50 +39,64 @@ HEAD_WORDS = 200_000
 #: Words a sentence, above which a document is taken to lack punctuation, and sentence length says nothing.
 LONGEST_MEAN = 35.0
 FEATURES = [f"c{int(s * 100)}" for s in SHARES] + ["mean_rank", "word_len", "sentence_len"]
-_SENTENCE = re.compile(r"[.!?؟۔．！？]+")
-
-
-@lru_cache(1)
-def _words():
-    """Finds words: letters with inner marks, apostrophes and hyphens."""
-    w = f"[^\\W\\d_{charmap.TATWEEL}][{charmap.MARKS_CLASS}{charmap.TATWEEL}{charmap.invisible_py()}]*"
-    return re.compile(f"(?:{w})+(?:['’-](?:{w})+)*")
-
-
-@lru_cache(400_000)
-def _plain(word: str) -> str:
-    return charmap.loose(word)
-
-
-def _arabic(word: str) -> bool:
-    return "؀" <= word[0] <= "ۿ"
-
-
-def sentences_of(text: str) -> list[list[str]]:
-    """The words of each sentence, in loose form."""
-    find = _words().findall
-    out = []
-    for part in _SENTENCE.split(text):
-        ws = [p for w in find(part) if (p := _plain(w))]
-        if ws:
-            out.append(ws)
-    return out
+#: Characters that end a sentence.
+STOPS = ".!?؟۔．！？"
+#: Characters of text that are measured at once, and written words that a task remembers at most, about.
+PIECE, REMEMBERED = 1 << 20, 400_000
+_LATIN, _ARABIC, _STOP, _NOTHING = range(4)
+
+
+@lru_cache(2)
+def _words(stops: bool = False) -> re.Pattern:
+    """Finds words: letters with inner marks, apostrophes and hyphens; and, if asked, runs of STOPS."""
+    w = f"(?:[^\\W\\d_{charmap.TATWEEL}]++[{charmap.MARKS_CLASS}{charmap.TATWEEL}{charmap.invisible_py()}]*+)++"
+    return re.compile(f"{w}(?:['’-]{w})*+" + f"|[{STOPS}]++" * stops)
+
+
+class Tokens(dict):
+    """A number for every word or run of STOPS as it is written, given when it is first met, with its kind and the number of its loose
+    form; and of each loose form the length and the rank, 0 where rank does not know it."""
+
+    def __init__(self, rank: Callable[[str], int | None]):
+        super().__init__()
+        self.rank, self.numbers, self.forms = rank, {}, []
+        self.kind, self.form, self.size, self.ranked = array("b"), array("q"), array("q"), array("q")
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self.kind)
+        word = "" if token[0] in STOPS else charmap.loose(token)
+        form = self.numbers.setdefault(word, len(self.forms))
+        if form == len(self.forms):
+            self.forms.append(word)
+            self.size.append(len(word))
+            self.ranked.append(self.rank(word) or 0)
+        self.form.append(form)
+        self.kind.append(_STOP if token[0] in STOPS else _NOTHING if not word else _ARABIC if "؀" <= word[0] <= "ۿ" else _LATIN)
+        return n
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts, added up in each task before the shuffle."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        written: Counter = Counter()
+        find = _words().findall
+
+        def told() -> pd.DataFrame:
+            c: Counter = Counter()
+            for w, n in written.items():
+                c[charmap.loose(w)] += n
+            del c[""]
+            return pd.DataFrame({"word": list(c), "n": list(c.values())}, columns=["word", "n"]).astype({"word": object, "n": "int64"})
+
         for pdf in parts:
             for t in pdf[text]:
                 if t:
-                    for s in sentences_of(t):
-                        c.update(s)
-            if len(c) > 300_000:  # memory stays bounded; the rest of the sum is the shuffle's
-                yield pd.DataFrame({"word": list(c), "n": list(c.values())})
-                c.clear()
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())}, columns=["word", "n"]).astype({"word": object, "n": "int64"})
+                    written.update(find(t))
+            if len(written) > 300_000:  # memory stays bounded; the rest of the sum is the shuffle's
+                yield told()
+                written.clear()
+        yield told()
 
     return docs.select(text).where(F.col(text).isNotNull()).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -107,26 +124,53 @@ def _coverage(rank: np.ndarray, k: np.ndarray) -> list[float]:
     return [*map(float, r[at]), float((r * k[by]).sum() / n)]
 
 
-def _measure(sents: list[list[str]], rank) -> list[tuple]:
-    """A row for each script in a text: arabic, n, coverage or None, word length, sentence length, ranks and counts of the words
-    that rank knows and the others with their counts. The coverage is there if rank knows all."""
-    rows = []
-    for arabic in (False, True):
-        own = [s for s in ([w for w in s if _arabic(w) is arabic] for s in sents) if s]
-        n = sum(map(len, own))
-        if not n:
-            continue
-        c = Counter(w for s in own for w in s)
-        got = [(rank(w), k, w) for w, k in c.items()]
-        head, rest = [(r, k) for r, k, _ in got if r is not None], [(w, k) for r, k, w in got if r is None]
-        mean = n / len(own)
-        shape = (sum(len(w) * k for w, k in c.items()) / n, float(np.log(mean)) if mean <= LONGEST_MEAN else None)
-        r, k = np.array([x[0] for x in head], np.int64), np.array([x[1] for x in head], np.int64)
-        if rest:
-            rows.append((arabic, n, [None] * (len(SHARES) + 1), shape, r, k, [x[0] for x in rest], [x[1] for x in rest]))
-        else:
-            rows.append((arabic, n, _coverage(r, k), shape, r[:0], k[:0], [], []))
-    return rows
+def measured(texts: list[str], tokens: Tokens) -> tuple:
+    """A row for each script in a text: the number of the text, arabic, n, and masked arrays of FEATURES, where the coverage is
+    missing if tokens does not know the ranks of all words; then, for these rows alone, the ranks and counts of the words with a
+    rank and the others with their counts, as lists."""
+    find = _words(True).findall
+    found = [find(t) for t in texts]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    at = np.fromiter(map(tokens.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+    kind, doc = np.frombuffer(tokens.kind, np.int8)[at], np.repeat(np.arange(len(texts)), lengths)
+    sentence = np.cumsum(kind == _STOP) + doc
+    word = kind < _STOP
+    kind, doc, sentence = kind[word], doc[word], sentence[word]
+    form = np.frombuffer(tokens.form, np.int64)[at[word]]
+    rank = np.frombuffer(tokens.ranked, np.int64)[form]
+    group = doc * 2 + kind
+    add = lambda g, w=None: np.bincount(g, w, 2 * len(texts))
+    own = sum(add(group[kind == k][np.diff(sentence[kind == k], prepend=-1) != 0]) for k in (_LATIN, _ARABIC))
+    every = add(group)
+    at = np.flatnonzero(every)
+    n, mean, partly = every[at], every[at] / own[at], add(group, rank == 0)[at] > 0
+    base = int(rank.max(initial=0)) + 1
+    by = np.sort(group * base + rank) % base
+    begin = np.cumsum(n) - n
+    cover = [np.log(np.maximum(1, by[begin + np.clip(np.ceil(s * n).astype(np.int64), 1, n) - 1])) for s in SHARES]
+    cover.append(add(group, np.log(np.maximum(1, rank)))[at] / n)
+    values = [*(np.ma.array(c, mask=partly) for c in cover), np.ma.array(add(group, np.frombuffer(tokens.size, np.int64)[form])[at] / n, mask=False), np.ma.array(np.log(mean), mask=mean > LONGEST_MEAN)]
+    some = np.zeros(len(every), bool)
+    some[at[partly]] = True
+    pair, times = np.unique(group[some[group]] * len(tokens.forms) + form[some[group]], return_counts=True)
+    whose, form = np.divmod(pair, max(1, len(tokens.forms)))
+    rank = np.frombuffer(tokens.ranked, np.int64)[form]
+    lists = []
+    for x in (rank > 0, rank == 0):
+        offsets = pa.array(np.concatenate([[0], np.cumsum(add(whose[x])[at])]), pa.int32())
+        what = pa.array(rank[x]) if not lists else pa.array([tokens.forms[f] for f in form[x].tolist()], pa.string())
+        lists += [pa.ListArray.from_arrays(offsets, what), pa.ListArray.from_arrays(offsets, pa.array(times[x], pa.int64()))]
+    return at // 2, at % 2 == 1, n, values, lists
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """From where to where texts are measured at once."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PIECE or i == len(texts) - 1:
+            yield first, i + 1
+            first, size = i + 1, 0
 
 
 _COVER = FEATURES[: len(SHARES) + 1]
@@ -141,13 +185,19 @@ def features(docs: DataFrame, ranked: DataFrame, n_words: int, key: str, text: s
     known = ranked.where("head").select("word", "rank").toPandas()  # HEAD_WORDS a script at most
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(known["word"], known["rank"].astype("int64"))))
 
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value.get
-        for pdf in parts:
-            rows = [(i, a, n, *cover, *shape, *rest) for i, t in zip(pdf["id"], pdf["text"]) for a, n, cover, shape, *rest in _measure(sentences_of(t), get)]
-            yield pd.DataFrame(rows, columns=["id", "arabic", "n", *FEATURES, "ranks", "counts", "words", "times"])
+    names = ["id", "arabic", "n", *FEATURES, "ranks", "counts", "words", "times"]
+
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(shared.value.get)
+        for batch in parts:
+            ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
+            for x, y in _pieces(texts):
+                if len(tokens) > REMEMBERED:
+                    tokens = Tokens(shared.value.get)
+                which, arabic, n, values, lists = measured(texts[x:y], tokens)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which + x)), pa.array(arabic), pa.array(n, pa.int64()), *(pa.array(v.data, pa.float64(), mask=np.ma.getmaskarray(v)) for v in values), *lists], names)
 
-    got = docs.mapInPandas(measure, f"{_KEYS}{_DOUBLES}, ranks array<long>, counts array<long>, words array<string>, times array<long>")
+    got = docs.mapInArrow(measure, f"{_KEYS}{_DOUBLES}, ranks array<long>, counts array<long>, words array<string>, times array<long>")
     got = cut(got.withColumn("row", F.monotonically_increasing_id()))
     columns = ["id", "arabic", "n", *FEATURES]
     part = got.where("size(words) > 0")

@@ -1,11 +1,15 @@
 """Training-data operators on small fixtures: brute force, nulls, ties, repeats, empty tables, extra columns."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.functions import charmap
 from maskwright.llm import p1_consensus as p1
 from maskwright.llm import p2_overlap as p2
 from maskwright.llm import p3_sample as p3
@@ -361,6 +365,42 @@ def test_p8_ranks_and_ways_agree(spark):
     assert {r.word: r["rank"] for r in p8.ranks(c).collect()} == {"a": 1, "b": 1, "c": 3, "ب": 1}
 
 
+def test_p8_measures_many_texts_at_once_by_the_definition(spark):
+    rng = random.Random(8)
+    words = ["The", "cat's", "well-known", "Aé̃b", "كتاب", "كِتَاب", "كـــتاب", "المدير", "x\u200by", "12", "a1b", "_", "—", "日本", "ß", "İz", "-end", "don’t", "!", "؟", "...", "?!", "．", "Cat"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["", "  ", "123 !!", "!", "the. the! cat", "قال the. كتاب", "w " * 40, "w " * 35 + ".", "end.", "a.b.c"]
+    word = f"[^\\W\\d_{charmap.TATWEEL}][{charmap.MARKS_CLASS}{charmap.TATWEEL}{charmap.invisible_py()}]*"
+    find = re.compile(f"(?:{word})+(?:['’-](?:{word})+)*").findall
+    rank = {"the": 1, "cat": 4, "w": 2, "كتاب": 1, "a": 9, "b": 10}
+    want, found = [], Counter()
+    for i, t in enumerate(texts):
+        sents = [[p for w in find(s) if (p := charmap.loose(w))] for s in re.split(r"[.!?؟۔．！？]+", t)]
+        found.update(w for s in sents for w in s)
+        for arabic in (False, True):
+            own = [s for s in ([w for w in s if ("؀" <= w[0] <= "ۿ") is arabic] for s in sents) if s]
+            ws = [w for s in own for w in s]
+            if ws:
+                r = sorted(rank.get(w, 0) for w in ws)
+                cover = [None] * 7 if not r[0] else [math.log(r[max(1, math.ceil(s * len(r))) - 1]) for s in p8.SHARES] + [sum(map(math.log, r)) / len(r)]
+                c = Counter(ws) if not r[0] else {}
+                known, rest = sorted((rank[w], k) for w, k in c.items() if w in rank), sorted((w, k) for w, k in c.items() if w not in rank)
+                want.append((i, arabic, len(ws), [*cover, sum(map(len, ws)) / len(ws), math.log(len(ws) / len(own)) if len(ws) / len(own) <= 35 else None], known, rest))
+    tokens = p8.Tokens(rank.get)
+    for step in (len(texts), 7, 1):  # together, in pieces, one at a time; words met before keep their numbers
+        at = 0
+        for k in range(0, len(texts), step):
+            which, arabic, n, values, (a, b, c, d) = p8.measured(texts[k : k + step], tokens)
+            for j in range(len(which)):
+                i, ar, m, feats, known, rest = want[at]
+                assert (which[j] + k, arabic[j], n[j]) == (i, ar, m)
+                assert [None if v.mask[j] else pytest.approx(v.data[j], abs=1e-12) for v in values] == feats
+                assert sorted(zip(a[j].as_py(), b[j].as_py())) == known and sorted(zip(c[j].as_py(), d[j].as_py())) == rest
+                at += 1
+        assert at == len(want)
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    assert {r.word: r.n for r in p8.word_counts(df).collect()} == dict(found)
+
+
 def test_queries_have_sql_only_for_themselves():
     from maskwright.llm import queries as q
 
